@@ -101,13 +101,16 @@ def from_ipc(data: bytes) -> pa.Table:
 
 
 def _pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with about ``most`` bytes of text (a row stays whole)."""
+    """Cut a batch into runs of rows with about ``most`` bytes of text (a row stays whole).
+
+    Each run is copied to arrays that start at offset 0: some string kernels misread slices.
+    """
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
-        yield batch.slice(start, stop - start)
+        yield batch if stop - start == batch.num_rows and not batch.column(column).offset else batch.take(pa.array(np.arange(start, stop)))
         start = stop
 
 
