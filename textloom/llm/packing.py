@@ -38,43 +38,111 @@ class WordTokenizer:
     """Whole-text ids of a tokenizer that drops white space and never joins across it.
 
     Such a tokenizer encodes a text as the concatenation of its words' ids, so every
-    distinct word is encoded once and remembered.
+    distinct word is encoded once and remembered.  A word of Latin letters, with or
+    without one mark after it, is the ids of its lower-case letters and of the mark.
+    Words are encoded in joined groups with a digit between them, which the tokenizer
+    always makes an id of its own.
     """
 
+    MARKS, JOIN, GROUP = ".,!?;:", "0", 256
+
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_str(spec)
         self.inner.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        (self.mark,) = self.inner.encode(self.JOIN, add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.first, self.size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.held = 0
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words that are not known yet."""
+        plain = [w for w in words if self.JOIN not in w]
+        odd = [w for w in words if self.JOIN in w] if len(plain) < len(words) else []
+        ids, sizes = [], []
+        groups = [plain[at : at + self.GROUP] for at in range(0, len(plain), self.GROUP)]
+        for at in range(0, len(groups), 64):
+            texts = [f" {self.JOIN} ".join(g) + f" {self.JOIN}" for g in groups[at : at + 64]]
+            for got in self.inner.encode_batch(texts, add_special_tokens=False):
+                got = np.array(got.ids, np.uint32)
+                marks = np.flatnonzero(got == self.mark)
+                sizes.append(np.diff(marks, prepend=-1) - 1)
+                ids.append(np.delete(got, marks))
+        for got in self.inner.encode_batch(odd, add_special_tokens=False):
+            ids.append(np.array(got.ids, np.uint32))
+            sizes.append(np.array([len(got.ids)]))
+        sizes = np.concatenate(sizes)
+        n = len(self.known)
+        self.known.update(zip(plain + odd, range(n, n + len(words)), strict=True))
+        self.pool.append(np.concatenate(ids))
+        self.size.append(sizes)
+        self.first.append(self.held + np.cumsum(sizes) - sizes)
+        self.held += int(sizes.sum())
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        fresh = [w for w in words if w not in self.known]
+        if fresh:
+            self._learn(fresh)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat uint32 ids of all texts, and the number of ids of each."""
         flat, rows = words_of(text, lower=False)
         if not len(flat):
             return np.zeros(0, np.uint32), np.zeros(len(text), np.int64)
-        d = flat.dictionary_encode()
-        codes, words = d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = [w for w in words if w not in self.known]
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
-            self.known.update(zip(part, (np.array(e.ids, np.uint32) for e in self.inner.encode_batch(part, add_special_tokens=False)), strict=True))
-        lists = [self.known[w] for w in words]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        pool, first = np.concatenate(lists), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        ids = pool[np.arange(ends[-1], dtype=np.int64) - np.repeat(ends - each - first[codes], each)] if len(ends) else pool[:0]
-        return ids, np.bincount(rows, each, minlength=len(text)).astype(np.int64)
+            self._forget()
+        d = flat.dictionary_encode()
+        codes, words = d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
+        stem = pc.utf8_rtrim(words, self.MARKS)
+        cut = pc.subtract(pc.utf8_length(words), pc.utf8_length(stem)).to_numpy(zero_copy_only=False)
+        simple = (cut <= 1) & pc.match_substring_regex(stem, "^[a-zA-ZÀ-ÖØ-öø-ÿ]+$").to_numpy(zero_copy_only=False)
+        keys = pc.if_else(pa.array(simple), pc.utf8_lower(stem), words).dictionary_encode()
+        number = self._numbers(keys.dictionary.to_pylist())[keys.indices.to_numpy(zero_copy_only=False)]
+        last = np.full(len(number), -1)
+        marked = np.flatnonzero(simple & (cut == 1))
+        if len(marked):
+            marks = pc.utf8_slice_codeunits(words.take(pa.array(marked)), -1).dictionary_encode()
+            last[marked] = self._numbers(marks.dictionary.to_pylist())[marks.indices.to_numpy(zero_copy_only=False)]
+        pool, first, size = (np.concatenate(x) for x in (self.pool, self.first, self.size))
+        self.pool, self.first, self.size = [pool], [first], [size]
+        tail = np.where(last >= 0, size[last], 0)
+        # a distinct word is two runs of the pool, its letters and its mark; a text is runs of words
+        own = _runs(pool, np.column_stack([first[number], first[last]]).ravel(), np.column_stack([size[number], tail]).ravel())
+        each = size[number] + tail
+        ids = _runs(own, (np.cumsum(each) - each)[codes], each[codes])
+        return ids, np.bincount(rows, each[codes], minlength=len(text)).astype(np.int64)
+
+
+def _runs(pool: np.ndarray, begin: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """The runs ``pool[begin : begin + each]``, one after the other."""
+    ends = np.cumsum(each)
+    at = np.repeat((begin - ends + each).astype(np.int32), each)
+    at += np.arange(len(at), dtype=np.int32)
+    return pool[at]
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(spec: str) -> WordTokenizer:
+    """This worker's tokenizer: what it has learnt serves the next tasks too."""
+    key = str(zlib.crc32(spec.encode()))
+    if key not in _tokenizers:
+        _tokenizers.clear()
+        _tokenizers[key] = WordTokenizer(spec)
+    return _tokenizers[key]
 
 
 def cut(docs: DataFrame, spec: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document: full windows and one remainder, with the CRC of their ids."""
 
     def run(batches):
-        tokenizer = WordTokenizer(spec)
+        tokenizer = tokenizer_of(spec)
         for batch in batches:
             for piece in _pieces(batch, "text", 2 << 20):
                 ids, counts = tokenizer(piece.column("text"))
