@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import fingerprints, neardup, packing, quality, rules, sharding, substrings
+from textloom.llm import fingerprints, neardup, packing, quality, rules, sharding, substrings, webpages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents"), length=50)
 
 
+def op9_webpages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webpages.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
