@@ -174,13 +174,13 @@ def reply_to(blocks: DataFrame, replies: DataFrame, answer: Callable, schema: st
     def both(key: tuple, table: pa.Table) -> pa.Table:
         payload, got = None, {}
         for bucket, data in zip(table["bucket"].to_pylist(), table["payload"].to_pylist(), strict=True):
-            if bucket < 0:
+            if bucket is None:
                 payload = data
             else:
                 got[bucket] = data
         return answer(key[0].as_py(), payload, got)
 
-    rows = blocks.select("block", F.lit(-1).alias("bucket"), "payload").unionByName(replies.select("block", "bucket", "payload"))
+    rows = blocks.select("block", F.lit(None).cast("int").alias("bucket"), "payload").unionByName(replies.select("block", "bucket", "payload"))
     return rows.groupBy("block").applyInArrow(both, schema)
 
 
