@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from textloom.llm.common import _pieces, docs_view
 
 MARK = "▁"
+WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Score of a character in bytes: below the worst piece by this much.
 UNCOVERED = 10.0
 #: Words a worker remembers the ids of.
@@ -97,7 +98,7 @@ class Pieces:
         self.known: dict[str, tuple[np.ndarray, float]] = {}
 
     def viterbi(self, text: str) -> tuple[list[int], float]:
-        """Best segmentation of a marked text; a NUL stands for a literal space mark."""
+        """Best segmentation of a text in which marks stand for spaces."""
         goto, fail, ends, output = self.automaton.goto, self.automaton.fail, self.automaton.ends, self.automaton.output
         best, back = [0.0], [(0, -1)]
         state = 0
@@ -119,7 +120,7 @@ class Pieces:
         while at:
             length, number = back[at]
             if number < 0:
-                raw = (MARK if text[at - 1] == "\0" else text[at - 1]).encode("utf-8", "surrogatepass")
+                raw = text[at - 1].encode("utf-8", "surrogatepass")
                 ids += [self.bytes[b] for b in reversed(raw)]
             else:
                 ids.append(number)
@@ -130,55 +131,32 @@ class Pieces:
         """Ids and score of a whole text."""
         if not text:
             return np.zeros(0, np.int32), 0.0
-        # a literal mark (and NUL, its stand-in) is no pattern: both go by bytes
-        marked = MARK + text.replace("\0", "\1\0").replace(MARK, "\0").replace(" ", MARK) if MARK in text and "\0" not in text else None
-        if marked is None:
-            if MARK in text:  # both occur: encode around the literal marks
-                return self._around(text)
-            marked = MARK + text.replace(" ", MARK)
-        return self._words(marked)
-
-    def _around(self, text: str) -> tuple[np.ndarray, float]:
         parts, total = [], 0.0
-        for k, part in enumerate(re.split(f"({MARK})", text)):
-            if part == MARK:
+        for k, part in enumerate(text.split(MARK)):
+            if k:  # a literal mark matches no piece
                 parts.append(np.array([self.bytes[b] for b in MARK.encode()], np.int32))
                 total += self.uncovered
-            elif part or not k:
-                ids, score = self._words((MARK if not k else "") + part.replace(" ", MARK), literal=False)
+            if part or not k:
+                ids, score = self._words((MARK if not k else "") + part.replace(" ", MARK))
                 parts.append(ids)
                 total += score
         return np.concatenate(parts), total
 
-    def _words(self, marked: str, literal: bool = True) -> tuple[np.ndarray, float]:
-        words = re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", marked) if self.by_word else [marked]
+    def _words(self, marked: str) -> tuple[np.ndarray, float]:
         parts, total = [], 0.0
-        for word in words:
+        for word in WORDS.findall(marked) if self.by_word else [marked]:
             got = self.known.get(word)
             if got is None:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                ids, score = self.viterbi(word) if literal else self._plain(word)
+                ids, score = self.viterbi(word)
                 got = (np.array(ids, np.int32), score)
-                if literal and len(word) < 100:
+                if len(word) < 100:
+                    if len(self.known) > REMEMBERED:
+                        self.known.clear()
                     self.known[word] = got
             parts.append(got[0])
             total += got[1]
         return np.concatenate(parts), total
 
-    def _plain(self, word: str) -> tuple[list[int], float]:
-        """A word in which NUL is itself."""
-        ids, total = [], 0.0
-        for part in re.split("(\0)", word):
-            if part == "\0":
-                ids.append(self.bytes[0])
-                total += self.uncovered
-            elif part:
-                got, score = self.viterbi(part)
-                ids += got
-                total += score
-        return ids, total
-
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; bytes that form no character become U+FFFD."""
         out: list[bytes] = []
