@@ -10,10 +10,9 @@ linked; a component is what links reach.
    are compared with its smallest id, so candidates grow with members, not pairs.
 3. Candidates are confirmed on the full shingle sets; confirmed links give components.
 4. A bucket that still holds several components is gone through once more: members
-   outside its largest component are compared with all its members by signature, in
-   cells of bounded size, and pairs across components that may reach the limit are
-   confirmed on full sets too.  So the star shape loses no link that a bucket holds;
-   at the limit itself all bands miss a pair with probability (1 - 0.85^5)^25 < 1e-6.
+   outside its largest component are compared with all its members on full sets, in
+   cells of bounded size.  So the star shape loses no link that a bucket holds; at the
+   limit itself all bands miss a pair with probability (1 - 0.85^5)^25 < 1e-6.
 
 Defined results: words are lower-cased (A-Z) runs of non-blanks; fewer words than a
 shingle make one shingle; null, empty and blank texts have no shingles and no links;
@@ -32,8 +31,8 @@ from textloom.llm import common
 from textloom.llm.common import _pieces, coded, docs_view, hash_strings, mix, stored, words_of
 
 BINS, BANDS, ROWS = 128, 25, 5
-#: Members of a bucket compared with each other in one cell.
-CELL = 4096
+#: Shingles on either side of one cell of the second round.
+CELL = 1_500_000
 #: Up to so many ids (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -101,7 +100,7 @@ def signatures(row: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
 def _sign(words: int):
     def run(batches):
         for batch in batches:
-            for piece in _pieces(batch, "text", 4 << 20):
+            for piece in _pieces(batch, "text", 2 << 20):
                 n = piece.num_rows
                 row, key = shingles(piece.column("text"), words)
                 size = np.bincount(row, minlength=n).astype(np.int64)
@@ -119,18 +118,17 @@ def _sign(words: int):
                         pa.array(size),
                         pa.array((total[edges[1:]] - total[edges[:-1]]).view(np.int64)),
                         pa.array((total2[edges[1:]] - total2[edges[:-1]]).view(np.int64)),
-                        pa.array([x.tobytes() for x in (mix(sig) >> np.uint64(56)).astype(np.uint8)], pa.binary()),
                         pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "sketch", "bands"],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
     return run
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sketch, bands) of every document."""
-    return docs_view(docs).mapInArrow(_sign(words), "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, bands array<long>")
+    """(doc_id, n_shingles, set_a, set_b, bands) of every document."""
+    return docs_view(docs).mapInArrow(_sign(words), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def small(ids: DataFrame) -> DataFrame:
@@ -143,7 +141,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in _pieces(batch, "text", 4 << 20):
+            for piece in _pieces(batch, "text", 2 << 20):
                 row, key = shingles(piece.column("text"), words)
                 edges = np.searchsorted(row, np.arange(piece.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([key[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["doc_id", "members"])
@@ -194,42 +192,48 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that may reach the limit.
+def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket.
 
-    ``members``: (band, key, doc_id, component, n_shingles, sketch).  Only members outside
-    the largest component of a bucket ask, and they ask all; cells hold at most about
-    CELL askers and CELL asked.
+    ``members``: (band, key, doc_id, component) of the buckets with several components.
+    What the buckets of one largest component hold is gone through together: members
+    outside that component ask, and all are asked, on full sets, by an inverted index of
+    the asked.  Cells of about CELL shingles on either side bound a task; one link from an
+    asker to a component is enough.
     """
     by = ["band", "key"]
     counts = members.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("n"))
-    stats = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top")).where("kinds > 1")
-    stats = stats.select(*by, F.col("top.component").alias("largest"), F.ceil(F.col("size") / CELL).cast("int").alias("k"), F.ceil((F.col("size") - F.col("top.n")) / CELL).cast("int").alias("q"))
-    rows = members.join(stats, by).withColumn("h", F.xxhash64("doc_id"))
+    roots = counts.groupBy(*by).agg(F.max(F.struct("n", "component")).alias("top")).select(*by, F.col("top.component").alias("root"))
+    rows = stored(members.join(roots, by).select("root", "doc_id", "component").distinct().join(sets, "doc_id"))
+    size = F.octet_length("members") / 8
+    stats = rows.groupBy("root").agg(F.ceil(F.sum(size) / CELL).cast("int").alias("k"), F.ceil(F.sum(F.when(F.col("component") != F.col("root"), size).otherwise(0)) / CELL).cast("int").alias("q"))
+    rows = rows.join(stats, "root").withColumn("h", F.xxhash64("doc_id"))
     asked = rows.withColumn("j", F.pmod("h", "k").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).withColumn("asks", F.lit(False))
-    askers = rows.where("component <> largest").withColumn("i", F.pmod("h", "q").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("asks", F.lit(True))
-    cols = [*by, "i", "j", "asks", "doc_id", "component", "n_shingles", "sketch"]
+    askers = rows.where("component <> root").withColumn("i", F.pmod("h", "q").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("asks", F.lit(True))
+    cols = ["root", "i", "j", "asks", "doc_id", "component", "members"]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         asks = table["asks"].to_numpy()
-        ids, comp, size = (table[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
-        to, a, b = np.flatnonzero(~asks), [], []
+        ids, comp = table["doc_id"].to_numpy(), table["component"].to_numpy()
+        each = [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
+        to = np.flatnonzero(~asks)
+        sizes = np.fromiter((len(each[k]) for k in to), np.int64, len(to))
+        keys = np.concatenate([np.zeros(0, np.uint64), *[each[k] for k in to]])
+        order = np.argsort(keys)
+        keys, owner = keys[order], np.repeat(np.arange(len(to)), sizes)[order]
+        a, b = [], []
         for one in np.flatnonzero(asks):
-            small_, big = np.minimum(size[to], size[one]), np.maximum(size[to], size[one])
-            near = to[(comp[to] != comp[one]) & (100 * small_ >= percent * big)]
-            if not len(near):
-                continue
-            same = (sketch[near] == sketch[one]).mean(1)
-            p = percent / 100
-            slack = 6 * np.sqrt(p * (1 - p) / np.minimum(BINS, np.minimum(size[near], size[one])))
-            near = near[same >= p - slack]
-            a.append(np.minimum(ids[near], ids[one]))
-            b.append(np.maximum(ids[near], ids[one]))
-        pairs = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0) if a else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    return asked.select(*cols).unionByName(askers.select(*cols)).groupBy(*by, "i", "j").applyInArrow(run, "a long, b long").distinct()
+            low, high = np.searchsorted(keys, each[one]), np.searchsorted(keys, each[one], side="right")
+            n = high - low
+            at = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+            shared = np.bincount(owner[at], minlength=len(to))
+            near = np.flatnonzero((shared > 0) & (100 * shared >= percent * (sizes + len(each[one]) - shared)) & (comp[to] != comp[one]))
+            near = near[np.unique(comp[to[near]], return_index=True)[1]]
+            a.append(np.minimum(ids[to[near]], ids[one]))
+            b.append(np.maximum(ids[to[near]], ids[one]))
+        return pa.table({"a": pa.array(np.concatenate([np.zeros(0, np.int64), *a])), "b": pa.array(np.concatenate([np.zeros(0, np.int64), *b]))})
+
+    return asked.select(*cols).unionByName(askers.select(*cols)).groupBy("root", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +247,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # copies hang on their node: links between equal sets, as a star
     copies = with_set.join(nodes.where("__n > 1"), key).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     heads = with_set.join(nodes.select(*key, F.col("node").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    heads = stored(heads.select("doc_id", "n_shingles", "sketch", "bands"))
+    heads = stored(heads.select("doc_id", "bands"))
     band = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = band.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = stored(band.join(shared, ["band", "key"]))  # members of the buckets with two sets or more
@@ -256,9 +260,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     found = stored(components(links))
     placed = buckets.select("band", "key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("band", "key")
-    members = placed.join(mixed, ["band", "key"], "left_semi").join(heads.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    more = stored(across(members, percent).join(stars, ["a", "b"], "left_anti"))
-    links = links.unionByName(confirmed(more, sets, percent)).unionByName(copies)
+    more = stored(across(placed.join(mixed, ["band", "key"], "left_semi"), sets, percent))
+    links = links.unionByName(more).unionByName(copies)
     found = stored(components(links))
     out = rows.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     own = F.coalesce("component", "doc_id")
