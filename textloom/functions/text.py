@@ -127,9 +127,9 @@ def cut_kind(text: Column, at: Column) -> Column:
 
 
 def cut_context(text: Column, at: Column, width: int = 25) -> Column:
-    """SC-15: the characters around a cut, with a bar at it."""
+    """SC-15: the characters around a cut, with a bar at it and newlines shown."""
     start = F.greatest(at - width, F.lit(0))
-    return F.concat(between(text, start, at), F.lit("|"), between(text, at, at + width))
+    return newlines_shown(F.concat(between(text, start, at), F.lit("|"), between(text, at, at + width)))
 
 
 def unit_length(vector: Column) -> Column:
@@ -167,7 +167,7 @@ def shown_label(label: Column) -> Column:
 
 
 def window_id(number: Column) -> Column:
-    """SC-24: id of a fixed window by its number from 1."""
+    """SC-24: id of a fixed window by its number from 0."""
     return F.format_string("A-%03d", number)
 
 

@@ -23,7 +23,7 @@ def fixed_windows(docs: DataFrame, size: int, overlap: int, text_col: str = "tex
     out = docs.withColumn("seq", F.explode(numbers)).withColumn("start_char", (F.col("seq") * step).cast("int"))
     out = out.withColumn("end_char", F.least(F.col("start_char") + size, length).cast("int"))
     out = out.withColumn("body", T.between(F.col(text_col), F.col("start_char"), F.col("end_char")))
-    return out.withColumn("id", T.window_id(F.col("seq") + 1)).withColumn("est_tokens", T.estimated_tokens(F.col("body")))
+    return out.withColumn("id", T.window_id(F.col("seq"))).withColumn("est_tokens", T.estimated_tokens(F.col("body")))
 
 
 def rebuilt(windows: DataFrame, key: list[str], overlap: int) -> DataFrame:

@@ -7,7 +7,7 @@ REFUSAL = "(?i)\\bdo(?:es)? not contain (?:this|the|that) information\\b"
 
 def _windows(size: int, overlap: int, source: str = "documents", cols: str = "doc_id, text") -> str:
     step = size - overlap
-    return f"""select *, (seq * {step})::int as start_char, least(seq * {step} + {size}, length(text))::int as end_char, printf('A-%03d', seq + 1) as id,
+    return f"""select *, (seq * {step})::int as start_char, least(seq * {step} + {size}, length(text))::int as end_char, printf('A-%03d', seq) as id,
         substring(text, seq * {step} + 1, {size}) as body, ceil(length(substring(text, seq * {step} + 1, {size})) / 4.0)::int as est_tokens
       from (select {cols}, unnest(range(case when length(text) = 0 then 0 when length(text) <= {size} then 1 else 1 + ceil((length(text) - {size}) / {step}.0)::int end))::int as seq from {source})"""
 
@@ -114,7 +114,7 @@ SQL = {
     "chunk_stats_by_run": f"""select run_id, c.lang, count(*) as chunks, min(est_tokens)::int as min_tokens, max(est_tokens)::int as max_tokens, sum(est_tokens)::bigint as total_tokens, any_value(doc_tokens)::bigint as doc_tokens,
         avg(est_tokens) as mean_tokens, sum(est_tokens) / any_value(doc_tokens)::double as redundancy
         from ({ALL_RUNS}) c join (select lang, sum(ceil(length(text) / 4.0)::int) as doc_tokens from documents group by lang) d on d.lang = c.lang group by run_id, c.lang""",
-    "cut_classification": f"""select doc_id, id, side, position, kind, mid_word, substring(text, greatest(position - 25, 0) + 1, position - greatest(position - 25, 0)) || '|' || substring(text, position + 1, 25) as context
+    "cut_classification": f"""select doc_id, id, side, position, kind, mid_word, replace(substring(text, greatest(position - 25, 0) + 1, position - greatest(position - 25, 0)) || '|' || substring(text, position + 1, 25), chr(10), '⏎') as context
         from ({_cuts(500, 50, "documents", "doc_id, text")})""",
     "cut_summary": f"select lang, {_KINDS} from ({_cuts(500, 50, 'documents', 'doc_id, lang, text')}) group by lang",
     "noteworthy_cuts": f"select kind, count(*) as n, count(*) filter (mid_word) as in_word from ({_cuts(500, 50, 'documents', 'doc_id, text')}) where side = 'end' and (kind <> 'clean' or mid_word) group by kind",

@@ -111,14 +111,14 @@ def write_review(path: str, rows: DataFrame) -> None:
 
 
 def replace_block(path: str, name: str, block: str) -> bool:
-    """SNK-9, SRC-11: replace what stands between <!-- name:start --> and <!-- name:end -->; true if it changed."""
+    """SNK-9, SRC-11: replace what stands between <!-- name:start --> and <!-- name:end -->; false without both."""
     text = Path(path).read_text(encoding="utf-8")
     start, end = f"<!-- {name}:start -->", f"<!-- {name}:end -->"
     head, found, rest = text.partition(start)
     _, closed, tail = rest.partition(end)
     if not found or not closed:
-        raise ValueError(f"{path}: no {start} ... {end}")
+        return False
     after = f"{head}{start}\n{block.strip()}\n{end}{tail}"
     if after != text:
         Path(path).write_text(after, encoding="utf-8")
-    return after != text
+    return True
