@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([piece.column("trusted"), pa.array(list(x), pa.list_(pa.float32()))], names=["trusted", "x"])
 
     got = texts.join(F.broadcast(wanted), "doc_id").select("trusted", "text").mapInArrow(run, "trusted int, x array<float>").toArrow()
-    x = np.array(got["x"].to_pylist(), np.float32).reshape(len(got), -1)
+    x = np.array(got["x"].to_pylist(), np.float32).reshape(len(got), N_FEATURES)
     trusted = got["trusted"].to_numpy() == 1
     order = np.lexsort([*x.T, trusted])  # independent of the order of partitions
     x, trusted = x[order], trusted[order]
