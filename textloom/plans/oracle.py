@@ -103,9 +103,9 @@ SQL = {
     "normalize_text": f"select doc_id, sha256(t) as sha, length(t)::int as n_chars from (select doc_id, {_NORMAL} as t from documents)",
     "match_normalize": f"""select doc_id, sha256({_norm("text || '  5 – 7%  to 9 − 11 to  12 x'")}) as sha from documents""",
     "text_sha256": "select doc_id, sha256(text) as sha from documents",
-    "text_shapes": """select doc_id, trim(regexp_replace(lower(substring(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-') as slug,
+    "text_shapes": """select doc_id, sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-')) as slug,
         case when length(flat) > 70 then rtrim(substring(flat, 1, 69)) || '…' else flat end as preview,
-        replace(substring(text, 1, 300), chr(10), '⏎') as shown, 'title: none | text: ' || substring(text, 1, 30) as filled, lang || '_model_' || source as safe
+        sha256(replace(text, chr(10), '⏎')) as shown, sha256('title: none | text: ' || text) as filled, lang || '_model_' || source as safe
         from (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as flat from documents)""",
     "fixed_chunks_500_50": _fixed(500, 50),
     "fixed_chunks_300_30": _fixed(300, 30),
@@ -155,8 +155,8 @@ SQL = {
         case when not same_context and given <> '' and not same_answer then '[not applied: the context and answer changed since review] read' when not same_context then '[not applied: the context changed since review] read'
           when given <> '' and not same_answer then '[not applied: the answer changed since review] read' else 'read' end as suggestion_reason from s""",
     "manual_warnings": f"with {ANSWERS} select run_id, question_id, 'answer' as changed from a where number % 2 = 0 and answer_1 <> answer_2",
-    "key_validation_errors": f"""with f as (select 'Q' || (item_id // 4) as question_id, 'S' || (item_id % 2) as section, substring(text, 1, 40) as accepted from benchmark where 7 <> (item_id // 4) % 7 + 1),
-        s as (select min(text) as text from documents where doc_id % 2 = 0)
+    "key_validation_errors": f"""with f as (select 'Q' || (item_id // 4) as question_id, 'S' || (item_id % 2) as section, text as accepted from benchmark where 7 <> (item_id // 4) % 7 + 1),
+        s as (select text from documents order by n_chars desc, text desc limit 1)
         select distinct question_id, 'no section: S1' as error from f where section = 'S1'
         union all select question_id, 'not in section S0: ' || accepted from f, s where section = 'S0' and not contains({_norm("s.text")}, {_norm("accepted")})""",
     "key_rule_errors": """with q as (select n, 'Q' || n as question_id, 7 <> n % 7 + 1 as answerable, n_facts, two from (select item_id // 4 as n, count(*) as n_facts, count(distinct item_id % 2) as two from benchmark group by 1))
@@ -171,7 +171,7 @@ SQL = {
         from (select h.question_id, h.rank, row_number() over (partition by h.question_id order by h.rank) as k, trim(d.text) as text from h join documents d on d.doc_id = h.chunk_id where rank <= 3) group by question_id)
         select question_id, sha256(c) as sha, length(c)::int as n_chars from t""",
     "embed_dedupe": "select lang, count(*) as texts, count(distinct text) as to_embed from documents group by lang",
-    "cache_hit_miss": "with k as (select text, bool_or(doc_id % 3 = 0) as hit from documents group by text) select count(*) filter (hit) as hits, count(*) filter (not hit) as misses from k",
+    "cache_hit_miss": "with k as (select text, bool_or(lang = 'en') as hit from documents group by text) select count(*) filter (hit) as hits, count(*) filter (not hit) as misses from k",
     "rate_window_60s": """select event_id, count(*) over w as requests_60s, (sum(floor(value)::bigint) over w)::bigint as tokens_60s from events
         window w as (order by ts range between interval 59999999 microseconds preceding and current row)""",
 }
