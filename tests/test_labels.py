@@ -37,7 +37,9 @@ def test_retrieval_labels(spark, key):
 def test_answer_labels(spark, key):
     given = [("a", "Q1", "8 frames"), ("b", "Q1", REFUSAL + " eight frames"), ("c", "Q3", REFUSAL), ("d", "Q3", "it costs 9 euros"), ("e", "Q3", REFUSAL + " Perhaps 9 euros."), ("f", "Q1", None)]
     rows = labels.answer_labels(spark.createDataFrame(given, "run_id string, question_id string, answer string"), *key, ["run_id", "question_id"], forbidden=r"\d+ euros")
-    assert {r.run_id: r.label for r in rows.collect()} == {"a": "yes", "b": "no", "c": "yes", "d": "no", "e": "no", "f": "no"}
+    got = {r.run_id: r for r in rows.collect()}
+    assert {k: r.label for k, r in got.items()} == {"a": "yes", "b": "no", "c": "yes", "d": "no", "e": "no", "f": "no"}
+    assert got["a"].matched == ["frames"] and got["b"].matched == []
 
 
 def test_key_errors(spark, key):

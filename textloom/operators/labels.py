@@ -75,7 +75,8 @@ def answer_labels(answers: DataFrame, questions: DataFrame, facts: DataFrame, by
         .when(refused, F.lit("no"))
         .otherwise(rule(F.col("n_matched"), F.col("sections"), F.col("min_facts_for_yes"), F.col("source_sections")))
     )
-    return rows.select(*by, label.alias("label"), "matched")
+    none = F.array().cast("array<string>")  # a refusal states no facts
+    return rows.select(*by, label.alias("label"), F.when(refused | ~F.col("answerable"), none).otherwise(F.col("matched")).alias("matched"))
 
 
 def relevant_hits(hits: DataFrame, bodies: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
