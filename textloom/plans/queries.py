@@ -330,6 +330,44 @@ def closed_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("question_id", T.refuses(F.col("answer")).alias("refused"), F.length("answer").alias("n_chars"))
 
 
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors scaled by three and brought back to length 1."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", T.unit_length(F.transform("embedding", lambda x: x * 3)).alias("v"))
+    return rows.select("vec_id", F.size("v").alias("dims"), (F.abs(F.sqrt(T.dot(F.col("v"), F.col("v"))) - 1) < 1e-3).alias("unit"))
+
+
+def citation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citation numbers of each query's context."""
+    ids = retrieval.contexts(retrieval.with_context(_hits(spark, sf_dir, 5), "top_k", k=3))
+    cited = T.citations(F.transform("context_ids", lambda x: x.cast("string")))
+    return ids.select("question_id", F.array_join(F.map_keys(cited), " ").alias("numbers"), F.array_join(F.map_values(cited), " ").alias("chunk_ids"))
+
+
+def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review rows of one run: every document is in the context of its question, the first is the answer."""
+    questions, facts = corpora.benchmark_key(spark, sf_dir)
+    texts = _document_texts(spark, sf_dir, questions).withColumn("run_id", F.lit("r"))
+    chunks = texts.select("run_id", F.col("doc_id").cast("string").alias("chunk_id"), "body")
+    ordered = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
+    contexts = texts.groupBy("run_id", "question_id").agg(ordered.alias("context_ids"), F.sum(T.estimated_tokens(F.col("body"))).alias("context_tokens"), F.min_by("body", "doc_id").alias("first"), F.min("doc_id").alias("n"))
+    answers = contexts.select("run_id", "question_id", F.when(F.col("n") % 3 == 0, F.lit("The document does not contain this information.")).otherwise(F.col("first")).alias("answer"))
+    rows = review.build_rows(contexts.drop("first", "n"), chunks, questions, facts, answers)
+    return rows.select("question_id", "question", T.digest(F.col("context_ids")).alias("context_sha"), "context_tokens", "retrieval_auto", "facts_in_context", "answer_auto", "facts_in_answer")
+
+
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of runs made of the label layers; every tenth question has no answer."""
+    rows = corpora.review_layers(spark, sf_dir).withColumn("answer", F.when(F.col("run_id") == "src1", F.lit("")).otherwise(F.lit("said")))
+    docs = table(spark, sf_dir, "documents")
+    questions = docs.select(F.col("doc_id").alias("question_id"), (F.col("doc_id") % 10 != 0).alias("answerable"))
+    hits = docs.select(F.col("source").alias("run_id"), F.col("doc_id").alias("question_id"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank"))
+    hits = hits.withColumn("relevant", (F.col("question_id") + F.col("rank")) % 7 == 0)
+    contexts = docs.select(F.col("source").alias("run_id"), T.tokens_of_length(F.col("n_chars")).alias("context_tokens"))
+    stats = docs.groupBy(F.col("source").alias("run_id")).agg(F.count(F.lit(1)).alias("chunks"))
+    out = metrics.run_metrics(rows, questions, hits, stats, contexts)
+    return out.select("run_id", "chunks", "retrieval_accuracy", "retrieval_accuracy_auto", "answer_accuracy", "answered", "retrieval_final", "retrieval_suggested", "retrieval_auto", "hit_at_1", "mrr", "mean_context_tokens", "provisional", F.size("per_question").alias("questions"))
+
+
 QUERIES = {
     name: query
     for name, query in list(globals().items())
