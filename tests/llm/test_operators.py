@@ -71,23 +71,15 @@ def test_scores_and_base(documents, rows):
     assert all(again[r.doc_id] == pytest.approx(r.score, rel=1e-6) for r in got)
 
 
-def test_probabilities_sum_to_one(spark):
-    """All continuations of a context, one document each: their predictive probabilities and a new word's."""
-    train = ["b a b c b a d a", "a a b", "c"] * 3
-    words = ["a", "b", "c", "d", "zzz"]  # zzz is not known
-    ids = iter(range(100_000))
-    pick = lambda held: next(i for i in ids if (zlib.crc32(str(i).encode()) % 7 == 2) == held)
-    data = [(pick(False), t) for t in train]
-    asked = {w: pick(True) for w in words}
-    two = {w: pick(True) for w in words}
-    data += [(asked[w], "b") for w in words[:1]] + [(two[w], f"b {w}") for w in words]
-    got = {r.doc_id: r for r in pitmanyor.score(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    # P(w | b) = P(b w end) / P(b end) * P(end | b) / P(end | w): take end's share from the one-word text
-    counts = pitmanyor.FOLDS
-    assert counts == 7
-    model_b = 10 ** got[asked["a"]].score  # P(b | start) P(end | b)
-    assert 0 < model_b < 1
-    assert all(10 ** got[two[w]].score < 1 for w in words)
+def test_probabilities_sum_to_one():
+    model = pitmanyor.Model(9, 3, 0.4, 0.3, 5.0)
+    model.totals = [6]
+    by_word, new = np.array([3, 2, 1]), np.array([0])
+    parent = model.parent(np.concatenate([by_word, new]), 0)
+    assert parent.sum() == pytest.approx(1) and parent[-1] == pytest.approx((1 + 0.3 * 3) / 7)
+    c, tables = np.array([4, 1, 0, 0]), np.array([2, 1, 0, 0])
+    p = (np.maximum(c - 0.4 * tables, 0) + (5 + 0.4 * tables.sum()) * parent) / (5 + c.sum())
+    assert p.sum() == pytest.approx(1)
 
 
 def test_seating_is_a_chinese_restaurant():
