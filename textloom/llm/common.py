@@ -78,9 +78,12 @@ def stored(df: DataFrame, rows_per_group: int | None = None) -> DataFrame:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of frames that are no longer referenced."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first lets go of plans, the second of what they held
+        gc.collect()
+        time.sleep(0.05)
+        spark.sparkContext._jvm.System.gc()
 
 
 def docs_view(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,6 +91,23 @@ def docs_view(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def tidy() -> None:
+    """Give back memory that a worker has freed: it lives as long as its executor."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    import ctypes
+
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018 - present in glibc only
+    _libc.mallopt(-3, 16 << 20)  # arrays over 16 MB are mapped, and unmapped when they go
+except (OSError, AttributeError):
+    _libc = None
+
+
 # --------------------------------------------------------------------- blocks
 def to_ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
@@ -112,6 +132,7 @@ def _pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Record
         stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch if stop - start == batch.num_rows and not batch.column(column).offset else batch.take(pa.array(np.arange(start, stop)))
         start = stop
+    tidy()
 
 
 def packer(column: str = "text", most: int = BLOCK_BYTES) -> Callable:
@@ -178,7 +199,10 @@ def reply_to(blocks: DataFrame, replies: DataFrame, answer: Callable, schema: st
                 payload = data
             else:
                 got[bucket] = data
-        return answer(key[0].as_py(), payload, got)
+        out = answer(key[0].as_py(), payload, got)
+        del payload, got
+        tidy()
+        return out
 
     rows = blocks.select("block", F.lit(None).cast("int").alias("bucket"), "payload").unionByName(replies.select("block", "bucket", "payload"))
     return rows.groupBy("block").applyInArrow(both, schema)
@@ -203,6 +227,29 @@ def hash_strings(values: list[str]) -> np.ndarray:
     return np.fromiter((h(v.encode("utf-8", "surrogatepass")) for v in values), np.uint64, len(values))
 
 
+def hash_array(values: pa.Array) -> np.ndarray:
+    """64-bit hashes of a string array, eight bytes of all strings at a time."""
+    values = values.cast(pa.large_string())
+    if not len(values):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = values.buffers()
+    bounds = np.frombuffer(offsets, np.int64, len(values) + 1, 8 * values.offset)
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    raw = np.concatenate([raw, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    at, left = bounds[:-1] - bounds[0], np.diff(bounds)
+    h = mix(left.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+    active = np.flatnonzero(left > 0)
+    while len(active):
+        rest = np.minimum(left[active], 8).astype(np.uint64)
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest)
+        h[active] = mix((h[active] ^ (words[at[active]] & mask)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+        at[active] += 8
+        left[active] -= 8
+        active = active[left[active] > 0]
+    return h
+
+
 def words_of(text: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a string array, flat, and each one's row."""
     if isinstance(text, pa.ChunkedArray):
@@ -220,13 +267,7 @@ def words_of(text: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     return flat, rows
 
 
-def coded(flat: pa.Array) -> tuple[np.ndarray, list[str]]:
-    """Dictionary codes of a flat string array, and the distinct strings."""
+def coded(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Dictionary codes of a flat string array, and the hashes of the distinct strings."""
     d = flat.dictionary_encode()
-    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
-
-
-def split_sorted(values: np.ndarray, n: int) -> np.ndarray:
-    """Bounds of n equal ranges of the 64-bit key space in a sorted array: n + 1 offsets."""
-    edges = (np.arange(1, n, dtype=object) * (1 << 64) // n).astype(np.uint64)
-    return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]]).astype(np.int64)
+    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), hash_array(d.dictionary)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import common
-from textloom.llm.common import _pieces, coded, docs_view, hash_strings, mix, stored, words_of
+from textloom.llm.common import _pieces, coded, docs_view, mix, stored, words_of
 
 BINS, BANDS, ROWS = 128, 25, 5
 #: Shingles on either side of one cell of the second round.
@@ -42,7 +42,7 @@ def shingles(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text, sorted by (row, hash): (row, hash)."""
     flat, rows = words_of(text)
     codes, distinct = coded(flat)
-    h = mix(hash_strings(distinct) + np.uint64(1))[codes] if len(codes) else np.zeros(0, np.uint64)
+    h = mix(distinct + np.uint64(1))[codes] if len(codes) else np.zeros(0, np.uint64)
     sizes = np.bincount(rows, minlength=len(text))
     out_rows, out = [], []
     if len(h) >= words:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import _pieces, coded, mix, words_of
+from textloom.llm.common import _pieces, mix, words_of
 
 #: Window of words that counts as a repeat when it is found twice.
 WINDOW = 8

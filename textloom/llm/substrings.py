@@ -10,9 +10,10 @@ with a smaller id; strings are judged on the input and never cross documents.
    of a few dozen bytes.  Equal pieces of a block go out once, for its smallest id;
    for the block's other documents the answer is known already.  A minimizer decides
    the shard, so equal windows meet in one shard whatever document they are from.
-3. A shard builds the suffix array of its pieces by induced sorting; permuted common
-   prefixes of at least ``length`` bytes delimit groups of equal windows, and all but
-   those of a group's smallest document are marked.
+3. In a shard equal pieces are one string.  A string whose minimizer no other string has
+   shares no window with another; of the rest the shard builds the suffix array by induced
+   sorting, permuted common prefixes of at least ``length`` bytes delimit groups of equal
+   windows, and all but those of a group's smallest document are marked.
 4. The marked byte ranges return to their block, which joins them and cuts the texts.
 
 The hashes only route and preselect (a chance collision adds work, never a removal);
@@ -41,10 +42,12 @@ from textloom.llm.suffixes import loads, permuted_lcp, suffix_array
 LENGTH, SEED = 50, 20
 MOST_WINDOWS = 200
 #: Text positions handled at once when minimizers are computed.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Text bytes per bucket of the minimizer exchange, and per shard of pieces.
 TEXT_PER_BUCKET, TEXT_PER_SHARD = 24 << 20, 3 << 20
 NULL_ID = -(1 << 63)
+#: Ranges that a block knows already pass the shards by, spread over so many groups.
+SETTLED, KNOWN = 1 << 20, 1 << 30
 
 
 def block_text(payload: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,6 +128,7 @@ def _send_minimizers(n: int, length: int):
                 used = np.flatnonzero(np.diff(edges))
                 out = [low[edges[k] : edges[k + 1]].tobytes() + np.packbits(twice[edges[k] : edges[k + 1]]).tobytes() for k in used]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()), pa.array(out, pa.binary())], names=["bucket", "block", "payload"])
+                common.tidy()
 
     return run
 
@@ -145,7 +149,7 @@ def _flag_minimizers(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _pieces_out(n: int, shards: int, length: int):
-    """Block + flags -> pieces for the shards (bucket >= 0) and ranges known already (bucket -2)."""
+    """Block + flags -> pieces for the shards (bucket >= 0) and ranges known already (below)."""
 
     def answer(block: int, payload: bytes, got: dict[int, bytes]) -> pa.Table:
         _, ids, data, bounds = block_text(payload)
@@ -167,7 +171,7 @@ def _pieces_out(n: int, shards: int, length: int):
         first[number[::-1]] = np.arange(len(number))[::-1]
         owner = ids[row[first]]
         settled = ids[row] != owner[number]
-        rows_out = [(-2, ranges(start[settled], stops[settled]).tobytes())] if settled.any() else []
+        rows_out = [(-2 - int(mix(np.array([block]))[0] % np.uint64(SETTLED)), ranges(start[settled], stops[settled]).tobytes())] if settled.any() else []
         places = np.flatnonzero(~settled)
         places = places[np.argsort(number[places], kind="stable")]
         times = np.bincount(number[places], minlength=len(known))
@@ -181,12 +185,24 @@ def _pieces_out(n: int, shards: int, length: int):
             head = np.array([len(mine), len(at)], "<i8")
             f = first[mine]
             parts = [head, owner[mine], (windows[f] + length - 1).astype("<i4"), times[mine].astype("<i4"), row[at].astype("<i4"), start[at].astype("<i4")]
-            rows_out.append((k, b"".join(p.tobytes() for p in parts) + b"".join(raw[s:e] for s, e in zip(start[f].tolist(), stops[f].tolist(), strict=True))))
+            rows_out.append((k, squeeze(b"".join(p.tobytes() for p in parts) + b"".join(raw[s:e] for s, e in zip(start[f].tolist(), stops[f].tolist(), strict=True)))))
         return pa.table({"block": pa.array([block] * len(rows_out), pa.int64()), "bucket": pa.array([r[0] for r in rows_out], pa.int32()), "payload": pa.array([r[1] for r in rows_out], pa.binary())})
 
     return answer
 
 
+def squeeze(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(data, 1)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(data)
+
+
 def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Byte ranges (start, stop) in block coordinates; those that touch are one."""
     if not len(start):
@@ -199,7 +215,7 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 
 def mark(owner: np.ndarray, sizes: np.ndarray, data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of a shard that also start in a smaller id: (piece, offset) of each."""
+    """Windows of distinct pieces that also start in a smaller id: sorted (piece, offset)."""
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     raw = np.frombuffer(data + b"\0" * (length + 16), np.uint8)
     piece = np.repeat(np.arange(len(sizes)), sizes - length + 1)
@@ -218,23 +234,55 @@ def mark(owner: np.ndarray, sizes: np.ndarray, data: bytes, length: int) -> tupl
     group -= group[0] if len(order) else 0
     least = np.full(int(group[-1]) + 1 if len(order) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, group, owner[piece[order]])
-    hit = order[owner[piece[order]] > least[group]]
+    hit = np.sort(order[owner[piece[order]] > least[group]])
     return piece[hit], offset[hit]
 
 
+def mark_shared(owner: np.ndarray, sizes: np.ndarray, pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``mark`` for the pieces that share their minimizer with another one; no window of the rest is in two."""
+    data = np.frombuffer(b"\0".join(pieces) + b"\0" * 64, np.uint8)
+    row, _, _, least = runs(data, np.concatenate([[0], np.cumsum(sizes + 1)]), length)
+    own = np.zeros(len(pieces), np.uint64)
+    own[row[::-1]] = least[::-1]
+    _, index, times = np.unique(own, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(times[index] > 1)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    piece, offset = mark(owner[at], sizes[at], b"".join(pieces[k] for k in at.tolist()), length)
+    return at[piece], offset
+
+
 def _shard(length: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        own, sizes, texts, places, blocks = [], [], [], [], table["block"].to_pylist()
-        for data in table["payload"].to_pylist():
+        if key[0].as_py() < 0:
+            return table.set_column(table.schema.get_field_index("bucket"), "bucket", pa.array([KNOWN] * table.num_rows, pa.int32())).select(["block", "bucket", "payload"])
+        own, sizes, places, blocks = [], [], [], table["block"].to_pylist()
+        known: dict[bytes, int] = {}
+        number = []  # of each piece among the distinct ones
+        for data in map(unsqueeze, table["payload"].to_pylist()):
             n, m = np.frombuffer(data, "<i8", 2)
             at = 16 + 8 * n
             own.append(np.frombuffer(data, "<i8", n, 16))
             sizes.append(np.frombuffer(data, "<i4", n, at).astype(np.int64))
             places.append(np.frombuffer(data, "<i4", n + 2 * m, at + 4 * n).astype(np.int64))
-            texts.append(data[at + 8 * n + 8 * m :])
-        piece, offset = mark(np.concatenate(own), np.concatenate(sizes), b"".join(texts), length)
-        order = np.lexsort((offset, piece))
-        piece, offset = piece[order], offset[order]
+            ends = (at + 8 * n + 8 * m + np.cumsum(sizes[-1])).tolist()
+            number += [known.setdefault(data[e - k : e], len(known)) for e, k in zip(ends, sizes[-1].tolist(), strict=True)]
+        number, owner = np.array(number, np.int64), np.concatenate(own)
+        least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, owner)
+        size = np.zeros(len(known), np.int64)
+        size[number] = np.concatenate(sizes)
+        first = mark_shared(least, size, list(known), length)
+        known.clear()
+        # a piece has the marks of its string, or all windows if a smaller id has the string
+        later = owner > least[number]
+        begin, windows = np.searchsorted(first[0], np.arange(len(size) + 1)), size - length + 1
+        each = np.where(later, windows[number], (begin[1:] - begin[:-1])[number])
+        piece = np.repeat(np.arange(len(number)), each)
+        step = np.arange(len(piece)) - np.repeat(np.cumsum(each) - each, each)
+        offset = np.where(later[piece], step, 0)
+        kept = ~later[piece]
+        offset[kept] = first[1][(begin[number[piece]] + step)[kept]]
         base = np.cumsum([0, *map(len, own)])
         cuts = np.searchsorted(piece, base)
         out_block, out = [], []
@@ -251,6 +299,7 @@ def _shard(length: int):
             at = starts[np.arange(each.sum()) - np.repeat(np.cumsum(each) - each - begin[p], each)]
             out_block.append(block)
             out.append(ranges(at + np.repeat(lo, each), at + np.repeat(hi, each)).tobytes())
+        common.tidy()
         return pa.table({"block": pa.array(out_block, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
 
     return run
@@ -308,11 +357,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     flags = stored(spread(sent, "bucket", n).groupBy("bucket").applyInArrow(_flag_minimizers, "block long, bucket int, payload binary"))
     del sent
     common.free_shuffles(spark)
-    pieces = stored(reply_to(blocks, flags, _pieces_out(n, shards, length), "block long, bucket int, payload binary"))
-    common.free_shuffles(spark)
-    found = stored(spread(pieces.where("bucket >= 0"), "bucket", shards).groupBy("bucket").applyInArrow(_shard(length), "block long, bucket int, payload binary"))
+    pieces = reply_to(blocks, flags, _pieces_out(n, shards, length), "block long, bucket int, payload binary")
+    found = stored(spread(pieces, "bucket", shards).groupBy("bucket").applyInArrow(_shard(length), "block long, bucket int, payload binary"))
+    del pieces
     common.free_shuffles(spark)
-    found = found.unionByName(pieces.where("bucket = -2").withColumn("bucket", F.lit(1 << 30)))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carry]
     schema = ", ".join([*kept, "__n_bytes long, __n_removed long, __n_spans long, __kept_sha256 string", *(["__kept string"] if with_text else [])])
     return reply_to(blocks, found, _cut(carry, with_text), schema)
