@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import common
-from textloom.llm.common import coded, docs_view, from_ipc, hash_strings, mix, packed, reply_to, spread, stored, text_bytes, words_of
+from textloom.llm.common import coded, docs_view, from_ipc, mix, packed, reply_to, spread, stored, text_bytes, words_of
 from textloom.llm.substrings import bucket_of, squeeze, unsqueeze
 
 FOLDS, HELD_OUT = 7, 2
 END, START = np.uint64(0x0E17D), np.uint64(0x057A27)
-SWEEPS, INNER = 2, 2
-#: Pairs up to this count are reseated customer by customer; larger ones at once.
-MOST_RESEATED = 12
+SWEEPS = 2
+#: Up to so many customers of a dish are seated by their exact distribution.
+MOST_AT_ONCE = 40
 STRENGTHS = (0.5, 2.0, 8.0, 32.0, 128.0, 512.0, 2048.0, 8192.0, 32768.0)
 TEXT_PER_BUCKET = 8 << 20
 #: Buckets of pairs are numbered from here in replies; a block's own rows are negative.
@@ -53,7 +53,7 @@ class Tokens:
         n = table.num_rows
         flat, rows = words_of(table["text"])
         codes, words = coded(flat)
-        hashes = np.concatenate([hash_strings(words), [END, START]]).astype(np.uint64)
+        hashes = np.concatenate([words, [END, START]]).astype(np.uint64)
         self.words, inverse = np.unique(hashes, return_inverse=True)
         end, start = inverse[-2], inverse[-1]
         self.end, self.start = int(end), int(start)
@@ -87,9 +87,9 @@ def put(*arrays: np.ndarray) -> bytes:
     """Arrays of whole numbers, each as its byte planes (most are zero and shrink to nothing)."""
     parts = [np.array([len(arrays), *[len(a) for a in arrays]], "<i8").tobytes()]
     for a in arrays:
-        planes = np.ascontiguousarray(a.astype("<u8")).view(np.uint8).reshape(-1, 8).T
-        used = max(1, int(np.flatnonzero(planes.any(1)).max(initial=0)) + 1)
-        parts += [bytes([used]), planes[:used].tobytes()]
+        planes = np.ascontiguousarray(a, "<i8").view(np.uint8).reshape(-1, 8)
+        used = max([p + 1 for p in range(8) if planes[:, p].any()], default=1)
+        parts += [bytes([used]), *[planes[:, p].tobytes() for p in range(used)]]
     return squeeze(b"".join(parts))
 
 
@@ -98,10 +98,11 @@ def take(data: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(data, "<i8", 1)[0])
     sizes, at, out = np.frombuffer(data, "<i8", n, 8), 8 + 8 * n, []
     for size in sizes.tolist():
-        used = data[at]
-        planes = np.zeros((8, size), np.uint8)
-        planes[:used] = np.frombuffer(data, np.uint8, used * size, at + 1).reshape(used, size)
-        out.append(np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64))
+        used, values = data[at], np.zeros(size, np.int64)
+        planes = values.view(np.uint8).reshape(-1, 8)
+        for p in range(used):
+            planes[:, p] = np.frombuffer(data, np.uint8, size, at + 1 + p * size)
+        out.append(values)
         at += 1 + used * size
     return out
 
@@ -126,7 +127,9 @@ def _send(n: int):
                 low = (t.pair_hash & np.uint64((1 << 40) - 1)).view(np.int64)
                 # in a bucket the low halves are not sorted; the order is the block's own
                 rows += [(PAIRS + k, put(low[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                del t
                 yield from _rows(block, rows).to_batches()
+                common.tidy()
 
     return run
 
@@ -153,6 +156,8 @@ def _count(key: tuple, table: pa.Table) -> pa.Table:
     cuts = np.cumsum(sizes)[:-1]
     answers = [put(a, b) for a, b in zip(np.split(total[index], cuts), np.split(second, cuts), strict=True)]
     sums = put(np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()]))
+    del got, keys, counts, distinct, index, second
+    common.tidy()
     return pa.table({"block": pa.array([*blocks.tolist(), -1], pa.int64()), "bucket": pa.array([bucket] * (len(answers) + 1), pa.int32()), "payload": pa.array([*answers, sums], pa.binary())})
 
 
@@ -205,6 +210,8 @@ def _sum_tables(key: tuple, table: pa.Table) -> pa.Table:
         sums[1][number] += g[2]
     answers = [put(sums[0][x], sums[1][x]) for x in numbers]
     total = put(np.array([sums[1].sum(), (sums[1] > 0).sum(), (sums[1] == 1).sum(), (sums[1] == 2).sum()]))
+    del got, numbers
+    common.tidy()
     return pa.table({"block": pa.array([*table["block"].to_pylist(), -1], pa.int64()), "bucket": pa.array([key[0].as_py()] * (len(answers) + 1), pa.int32()), "payload": pa.array([*answers, total], pa.binary())})
 
 
@@ -213,43 +220,52 @@ def uniform(key: np.ndarray, draw: int) -> np.ndarray:
     return ((mix(key + np.uint64(draw * int(GOLD) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def partitions(discount: float, most: int) -> np.ndarray:
+    """log weights [c, t] of all ways to seat c customers at t tables, without the new-table weights.
+
+    A way weighs the product of (1 - d)(2 - d)... over its tables: generalised Stirling numbers.
+    """
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    for c in range(1, most):
+        t = np.arange(1, most + 1)
+        stay = out[c, 1:] + np.log(np.maximum(c - t * discount, 1e-300))
+        out[c + 1, 1:] = np.logaddexp(np.where(t <= c, stay, -np.inf), out[c, :-1])
+    return out
+
+
+_partitions: dict[float, np.ndarray] = {}
+
+
 def seat(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
     """Tables of dishes with c customers; ``a`` is the weight of a new table.
 
-    Customers are first seated in turn, then (c up to MOST_RESEATED) taken out and seated
-    again one by one, INNER times: a Gibbs sweep of the dish given the rest.
+    A Gibbs step takes all customers of a dish out and seats them anew, given everybody
+    else: for up to MOST_AT_ONCE customers the number of tables is drawn from its exact
+    distribution over all seatings, beyond that customers are seated in ever longer runs.
     """
     tables = np.ones(len(c), np.int64)
-    draw = sweep * 100_000
-    for size in np.unique(c[c <= MOST_RESEATED]).tolist():
-        at = np.flatnonzero(c == size)
-        z, weight, own = np.zeros((len(at), size), np.int64), a[at], key[at]
-        for step in range(1, size * (1 + INNER)):
-            j = step % size
-            taken = np.arange(size)[None, :] != j if step >= size else np.arange(size)[None, :] < j
-            members = np.zeros((len(at), size))
-            for i in range(size):
-                if taken[0, i]:
-                    members[np.arange(len(at)), z[:, i]] += 1
-            p = np.where(members > 0, members - discount, 0.0)
-            empty = np.argmin(members > 0, axis=1)
-            p[np.arange(len(at)), empty] = np.where((members == 0).any(1), weight, p[np.arange(len(at)), empty])
-            acc = np.cumsum(p, axis=1)
-            x = uniform(own, draw + step) * acc[:, -1]
-            z[:, j] = np.minimum((acc <= x[:, None]).sum(1), size - 1)
-        ordered = np.sort(z, axis=1)
-        tables[at] = 1 + (ordered[:, 1:] != ordered[:, :-1]).sum(1)
-    large = np.flatnonzero(c > MOST_RESEATED)
+    if discount not in _partitions:
+        _partitions[discount] = partitions(discount, MOST_AT_ONCE)
+    ways = _partitions[discount]
+    x = uniform(key, sweep)
+    order = np.argsort(c, kind="stable")
+    sizes, start = np.unique(c[order], return_index=True)
+    for size, at in zip(sizes.tolist(), np.split(order, start[1:]), strict=True):
+        if size == 1 or size > MOST_AT_ONCE:
+            continue
+        w = ways[size, 1 : size + 1][None, :] + np.log(np.maximum(a[at], 1e-300))[:, None] * np.arange(size)
+        w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+        tables[at] = 1 + (w < (x[at] * w[:, -1])[:, None]).sum(1)
+    large = np.flatnonzero(c > MOST_AT_ONCE)
     if len(large):
-        t, seated, step = np.ones(len(large)), 1, 0
+        t, seated, step = np.ones(len(large)), 1, 1
         most = int(c[large].max())
-        while seated < most:  # ever longer runs of customers at once
+        while seated < most:
             run = max(1, seated // 8)
             n = np.clip(c[large] - seated, 0, run)
             p = np.minimum(a[large] / (a[large] + np.maximum(seated + n / 2 - discount * t, 1e-9)), 1.0)
-            mean = n * p
-            x = uniform(key[large], draw + 50_000 + step)
-            t += np.minimum(np.floor(mean + x), n)  # its mean, rounded at random
+            t += np.minimum(np.floor(n * p + uniform(key[large], sweep + 1000 * step)), n)  # the mean, rounded at random
             seated += run
             step += 1
         tables[large] = t.astype(np.int64)
