@@ -24,9 +24,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from textloom.llm.common import _pieces, docs_view
+from textloom.llm.packing import _runs
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -95,6 +97,8 @@ class Pieces:
         self.automaton = Automaton(usable)
         #: Whether texts fall apart at space marks.
         self.by_word = not any(MARK in t.lstrip(MARK) for t, _, _ in usable)
+        #: What each id stands for in a decoded text.
+        self.raw = [bytes([self.byte_of[k]]) if k in self.byte_of else t.replace(MARK, " ").encode("utf-8", "surrogatepass") for k, t in enumerate(self.texts)]
         self.known: dict[str, tuple[np.ndarray, float]] = {}
 
     def viterbi(self, text: str) -> tuple[list[int], float]:
@@ -145,25 +149,56 @@ class Pieces:
     def _words(self, marked: str) -> tuple[np.ndarray, float]:
         parts, total = [], 0.0
         for word in WORDS.findall(marked) if self.by_word else [marked]:
-            got = self.known.get(word)
-            if got is None:
-                ids, score = self.viterbi(word)
-                got = (np.array(ids, np.int32), score)
-                if len(word) < 100:
-                    if len(self.known) > REMEMBERED:
-                        self.known.clear()
-                    self.known[word] = got
-            parts.append(got[0])
-            total += got[1]
+            ids, score = self._word(word)
+            parts.append(ids)
+            total += score
         return np.concatenate(parts), total
 
+    def _word(self, word: str) -> tuple[np.ndarray, float]:
+        got = self.known.get(word)
+        if got is None:
+            ids, score = self.viterbi(word)
+            got = (np.array(ids, np.int32), score)
+            if len(word) < 100:
+                self.known[word] = got
+        return got
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids of all texts, how many each has, and their scores.
+
+        Texts whose words are parted by single spaces are taken apart and put together as
+        arrays; the rest, and those with literal marks, go one by one.
+        """
+        n = len(texts)
+        odd = pc.match_substring_regex(texts, f"^$|^ |  | $|{MARK}").to_numpy(zero_copy_only=False) if self.by_word else np.ones(n, bool)
+        lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        rows = np.repeat(np.flatnonzero(~odd), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        d = lists.flatten().dictionary_encode()
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        got = [self._word(MARK + w) for w in d.dictionary.to_pylist()]
+        codes = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pool = [g[0] for g in got]
+        size = np.fromiter(map(len, pool), np.int64, len(pool))
+        first = np.cumsum(size) - size
+        score = np.bincount(rows, np.array([g[1] for g in got], float)[codes], minlength=n).astype(float)
+        counts = np.bincount(rows, size[codes], minlength=n).astype(np.int64)
+        begin, each, pool, held = [first[codes]], [size[codes]], [*pool, np.zeros(0, np.int32)], int(size.sum())
+        order = [rows]
+        for k in np.flatnonzero(odd).tolist():
+            ids, score[k] = self.encode(texts[k].as_py())
+            counts[k] = len(ids)
+            pool.append(ids)
+            begin.append(np.array([held]))
+            each.append(np.array([len(ids)]))
+            order.append(np.array([k]))
+            held += len(ids)
+        by_row = np.argsort(np.concatenate(order), kind="stable")
+        return _runs(np.concatenate(pool), np.concatenate(begin)[by_row], np.concatenate(each)[by_row]), counts, score
+
     def decode(self, ids: list[int]) -> str:
         """The text of a sequence of ids; bytes that form no character become U+FFFD."""
-        out: list[bytes] = []
-        for k in ids:
-            b = self.byte_of.get(k)
-            out.append(self.texts[k].replace(MARK, " ").encode() if b is None else bytes([b]))
-        raw = b"".join(out)
+        raw = b"".join(map(self.raw.__getitem__, ids))
         try:
             text = raw.decode("utf-8", "surrogatepass")
         except UnicodeDecodeError:
@@ -183,10 +218,8 @@ def encoder(entries: list[tuple[str, float, int]]) -> Pieces:
     return _loaded[key]
 
 
-def _ids_array(parts: list[np.ndarray]) -> pa.Array:
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.concatenate([*parts, np.zeros(0, np.int32)])
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
+def _ids_array(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,8 +231,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         model = encoder(sent.value)
         for batch in batches:
             for piece in _pieces(batch, "text", 2 << 20):
-                got = [model.encode(t) for t in piece.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _ids_array([g[0] for g in got]), pa.array([g[1] for g in got])], names=["doc_id", "ids", "score"])
+                ids, counts, score = model.encode_batch(piece.column("text"))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), _ids_array(ids, counts), pa.array(score)], names=["doc_id", "ids", "score"])
 
     return docs_view(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, score double")
 
@@ -230,10 +263,11 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for piece in _pieces(batch, "text", 2 << 20):
                 texts = piece.column("text").to_pylist()
-                got = [model.encode(t) for t in texts]
-                exact = [model.decode(ids.tolist()) == t for (ids, _), t in zip(got, texts, strict=True)]
+                ids, counts, score = model.encode_batch(piece.column("text"))
+                ends = np.cumsum(counts).tolist()
+                exact = [model.decode(ids[e - n : e].tolist()) == t for e, n, t in zip(ends, counts.tolist(), texts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(g[0]) for g in got], pa.int64()), _ids_array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64()), pa.array(exact)],
+                    [piece.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts), _ids_array(ids, counts), pa.array(score), pa.array(exact, pa.bool_())],
                     names=["doc_id", "n_chars", "n_ids", "ids", "score", "exact"],
                 )
 
