@@ -415,3 +415,17 @@ def test_host_verdicts(spark):
     assert got[2001], "a host with one failure of two is drawn to the others' rate"
     kept = rules.keep(spark.createDataFrame(data, "doc_id long, text string, source string"))
     assert {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
+
+
+# ------------------------------------------------------------------ SQL
+def test_queries_equal_sql(spark, sf_dir):
+    duckdb = pytest.importorskip("duckdb")
+    from textloom.llm import queries
+
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        got, want = queries.queries()[name](spark, sf_dir).toPandas(), c.sql(sql).df()
+        assert sorted(got.columns) == sorted(want.columns)
+        key = lambda f: sorted(map(str, f[sorted(f.columns)].itertuples(index=False, name=None)))
+        assert key(got) == key(want), name

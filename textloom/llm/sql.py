@@ -1,7 +1,7 @@
 """DuckDB SQL of the llm queries that SQL can express on whole tables.
 
 The other operators (fingerprints, language model, pieces, classifier, shards, packing,
-byte strings, pages) have none; ``tests/llm`` holds them against brute force.
+pages) have none; ``tests/llm`` holds them against brute force.
 """
 
 from __future__ import annotations
@@ -41,4 +41,17 @@ with w as (select doc_id, source, coalesce(text, '') as text, {_WORDS.format(tex
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and (source is null or source not in (select source from bad)) as kept from b
 """
 
-SQL = {"op7_neardup": NEAR_DUPLICATES, "op10_rules": HOST_RULES}
+REPEATS = """
+with b as (select doc_id, encode(coalesce(text, '')) as t, octet_length(encode(coalesce(text, ''))) as n from documents),
+  w as (select doc_id, i, array_slice(t, i, i + 49) as s from (select doc_id, t, unnest(range(1, n - 48)) as i from b where n >= 50)),
+  f as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as first from w) where first < doc_id),
+  g as (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 50 then 1 else 0 end as fresh from f),
+  r as (select doc_id, run, min(i) as lo, max(i) + 50 as hi from (select *, sum(fresh) over (partition by doc_id order by i) as run from g) group by doc_id, run),
+  k as (select doc_id, hi as lo, lead(lo) over (partition by doc_id order by lo) as hi from r union all select doc_id, 1, min(lo) from r group by doc_id),
+  c as (select b.doc_id, list(array_slice(b.t, k.lo, coalesce(k.hi - 1, b.n)) order by k.lo) as parts from k join b on b.doc_id = k.doc_id where coalesce(k.hi - 1, b.n) >= k.lo group by b.doc_id)
+select b.doc_id, b.n::bigint as n_bytes, coalesce(x.removed, 0)::bigint as n_removed, coalesce(x.spans, 0)::bigint as n_spans,
+  sha256(case when x.doc_id is null then b.t else coalesce(list_reduce(parts, lambda p, q: p || q), ''::blob) end) as kept_sha256
+from b left join (select doc_id, sum(hi - lo) as removed, count(*) as spans from r group by doc_id) x on x.doc_id = b.doc_id left join c on c.doc_id = b.doc_id
+"""
+
+SQL = {"op7_neardup": NEAR_DUPLICATES, "op8_substrings": REPEATS, "op10_rules": HOST_RULES}
