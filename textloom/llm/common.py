@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 
 #: Text bytes packed into one block.
 BLOCK_BYTES = 4 << 20
-#: Bytes of packed entries that one bucket of an exchange should receive.
-BUCKET_BYTES = 6 << 20
 
 _left_behind: list[tuple[SparkSession, str]] = []
 
@@ -62,8 +60,8 @@ def _clean() -> None:
 def stored(df: DataFrame, rows_per_group: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
-    A lost executor then costs a re-read, not a recomputation.  Tables are removed
-    when the driver exits.
+    A lost executor then costs a re-read, not a recomputation.  Tables are removed by
+    ``discard``, or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}"
@@ -72,7 +70,18 @@ def stored(df: DataFrame, rows_per_group: int | None = None) -> DataFrame:
     if rows_per_group:
         writer = writer.option("parquet.block.row.count.limit", rows_per_group)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read again."""
+    for table in tables:
+        path = getattr(table, "stored_at", None)
+        if path:
+            _delete(table.sparkSession, path)
+            _left_behind[:] = [x for x in _left_behind if x[1] != path]
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -165,8 +174,18 @@ def packer(column: str = "text", most: int = BLOCK_BYTES) -> Callable:
     return pack
 
 
-def packed(docs: DataFrame, column: str = "text", most: int = BLOCK_BYTES) -> DataFrame:
+def scale(spark: SparkSession) -> int:
+    """spark.textloom.scale: how many times the usual size blocks and buckets have (1).
+
+    An exchange moves up to blocks x buckets rows; with 16 GB executors and 100 TB of text,
+    16 or more keeps rows large.  Memory of a task grows with it; results do not change.
+    """
+    return max(1, int(spark.conf.get("spark.textloom.scale", "1")))
+
+
+def packed(docs: DataFrame, column: str = "text", most: int | None = None) -> DataFrame:
     """A stored table (block long, payload binary); a block is a few MB of rows."""
+    most = most or BLOCK_BYTES * scale(docs.sparkSession)
     return stored(docs.mapInArrow(packer(column, most), "block long, payload binary"), rows_per_group=4)
 
 
@@ -174,9 +193,9 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
-def buckets_for(size: float, per_bucket: int = BUCKET_BYTES) -> int:
-    """Buckets of an exchange that moves ``size`` bytes in all."""
-    return max(4, math.ceil(size / per_bucket))
+def buckets_for(size: int, each: int, spark: SparkSession) -> int:
+    """Buckets of an exchange over ``size`` bytes of text, ``each`` bytes to one."""
+    return max(4, math.ceil(size / (each * scale(spark))))
 
 
 def spread(rows: DataFrame, by: str, n: int) -> DataFrame:

@@ -180,11 +180,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(large)
+        large, before = stored(large), now
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         after = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = stored(after)
+        common.discard(large, before)
         got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if got == state:
             break
@@ -261,8 +262,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     placed = buckets.select("band", "key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("band", "key")
     more = stored(across(placed.join(mixed, ["band", "key"], "left_semi"), sets, percent))
-    links = links.unionByName(more).unionByName(copies)
-    found = stored(components(links))
+    found = stored(components(links.unionByName(more).unionByName(copies)))
+    common.discard(heads, buckets, stars, ids, sets, links, more)
     out = rows.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     own = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

@@ -397,12 +397,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     rows = docs_view(docs, id_col, text_col)
     rows = rows.withColumn("held", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False)))
-    n = max(4, -(-text_bytes(rows) // TEXT_PER_BUCKET))
+    n = common.buckets_for(text_bytes(rows), TEXT_PER_BUCKET, spark)
     blocks = packed(rows)
     counted = stored(spread(blocks.mapInArrow(_send(n), THREE), "bucket", 2 * n).groupBy("bucket").applyInArrow(_count, THREE))
     common.free_shuffles(spark)
     words, pairs = _totals(counted, 0, n), _totals(counted, PAIRS, PAIRS + n)
     kitchens = stored(reply_to(blocks, counted.where("block >= 0"), _kitchen(n), THREE))
+    common.discard(counted)
     common.free_shuffles(spark)
     own = kitchens.where("bucket = -1").select("block", "payload")
 
@@ -421,6 +422,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kept = kitchens.where("bucket < 0")
     for sweep in range(SWEEPS):
         swept = stored(reply_to(own, state.where("block >= 0"), _sweep(model, sweep), THREE))
+        common.discard(state)
         state = exchanged(swept)
         model.totals.append(int(_totals(state, 0, n)[0]))
         kept = kept.unionByName(swept.where("bucket < 0"))

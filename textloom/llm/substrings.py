@@ -351,7 +351,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     rows = docs.select(*carry, F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     size = text_bytes(rows, "__text")
     blocks = packed(rows, "__text")
-    n, shards = max(4, -(-size // TEXT_PER_BUCKET)), max(4, -(-size // TEXT_PER_SHARD))
+    n, shards = (common.buckets_for(size, each, spark) for each in (TEXT_PER_BUCKET, TEXT_PER_SHARD))
     three = "bucket int, block long, payload binary"
     sent = blocks.mapInArrow(_send_minimizers(n, length), three)
     flags = stored(spread(sent, "bucket", n).groupBy("bucket").applyInArrow(_flag_minimizers, "block long, bucket int, payload binary"))
@@ -360,6 +360,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     pieces = reply_to(blocks, flags, _pieces_out(n, shards, length), "block long, bucket int, payload binary")
     found = stored(spread(pieces, "bucket", shards).groupBy("bucket").applyInArrow(_shard(length), "block long, bucket int, payload binary"))
     del pieces
+    common.discard(flags)
     common.free_shuffles(spark)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carry]
     schema = ", ".join([*kept, "__n_bytes long, __n_removed long, __n_spans long, __kept_sha256 string", *(["__kept string"] if with_text else [])])
