@@ -16,6 +16,7 @@ empty result.  Names of other columns cannot clash: only id and text are read.
 from __future__ import annotations
 
 import math
+import os
 import zlib
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import _pieces, docs_view, words_of
+from textloom.llm.common import _pieces, docs_view, tidy, words_of
 
 WINDOW, END_ID = 2048, 1
 #: Documents dealt to one packing cell (about 5 MB of piece rows).
@@ -47,6 +48,8 @@ class WordTokenizer:
     MARKS, JOIN, GROUP = ".,!?;:", "0", 256
 
     def __init__(self, spec: str) -> None:
+        # a task has one core; threads would only add memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_str(spec)
@@ -126,23 +129,11 @@ def _runs(pool: np.ndarray, begin: np.ndarray, each: np.ndarray) -> np.ndarray:
     return pool[at]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def tokenizer_of(spec: str) -> WordTokenizer:
-    """This worker's tokenizer: what it has learnt serves the next tasks too."""
-    key = str(zlib.crc32(spec.encode()))
-    if key not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[key] = WordTokenizer(spec)
-    return _tokenizers[key]
-
-
 def cut(docs: DataFrame, spec: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document: full windows and one remainder, with the CRC of their ids."""
 
     def run(batches):
-        tokenizer = tokenizer_of(spec)
+        tokenizer = WordTokenizer(spec)
         for batch in batches:
             for piece in _pieces(batch, "text", 2 << 20):
                 ids, counts = tokenizer(piece.column("text"))
@@ -154,6 +145,8 @@ def cut(docs: DataFrame, spec: str, window: int = WINDOW, end_id: int = END_ID)
                     rows += [(doc, at, min(window, total - at), zlib.crc32(data[4 * at : 4 * (at + window)]), total) for at in range(0, total, window)]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        del tokenizer  # what it remembers goes with the task, not with the worker
+        tidy()
 
     return docs_view(docs).mapInArrow(run, PIECES)
 
