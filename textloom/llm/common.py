@@ -14,6 +14,7 @@ a bucket has a bounded size whatever the corpus looks like.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import tempfile
 import uuid
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes packed into one block.
 BLOCK_BYTES = 4 << 20
+#: Bytes of an Arrow batch that goes to a worker while tables are written.
+BATCH_BYTES = 4 << 20
 
 _left_behind: list[tuple[SparkSession, str]] = []
 
@@ -57,6 +60,21 @@ def _clean() -> None:
         _delete(*_left_behind.pop())
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of a few MB while a table is written: both sides of the pipe hold one per task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, rows_per_group: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
@@ -69,7 +87,8 @@ def stored(df: DataFrame, rows_per_group: int | None = None) -> DataFrame:
     writer = df.write
     if rows_per_group:
         writer = writer.option("parquet.block.row.count.limit", rows_per_group)
-    writer.parquet(path)
+    with small_batches(spark):
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

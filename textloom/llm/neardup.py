@@ -175,7 +175,6 @@ def components(edges: DataFrame) -> DataFrame:
     map-side combining and stored, so a star of any size is no single task.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
     for _ in range(64):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -186,10 +185,10 @@ def components(edges: DataFrame) -> DataFrame:
         after = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = stored(after)
         common.discard(large, before)
-        got = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if got == state:
+        # done when every node hangs on one root, and no root on anything
+        edges_, nodes = now.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
+        if edges_ == nodes and not now.select(F.col("v").alias("u")).distinct().join(now.select("u"), "u", "left_semi").limit(1).count():
             break
-        state = got
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 

@@ -42,9 +42,9 @@ from textloom.llm.suffixes import loads, permuted_lcp, suffix_array
 LENGTH, SEED = 50, 20
 MOST_WINDOWS = 200
 #: Text positions handled at once when minimizers are computed.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 #: Text bytes per bucket of the minimizer exchange, and per shard of pieces.
-TEXT_PER_BUCKET, TEXT_PER_SHARD = 24 << 20, 3 << 20
+TEXT_PER_BUCKET, TEXT_PER_SHARD = 8 << 20, 3 << 20
 NULL_ID = -(1 << 63)
 #: Ranges that a block knows already pass the shards by, spread over so many groups.
 SETTLED, KNOWN = 1 << 20, 1 << 30
