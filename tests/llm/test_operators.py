@@ -375,6 +375,24 @@ def test_pages_by_template(spark):
         assert got[k].text == f"Title & {k}\nFirst text of {k} é more.\nSecond of {k}" and got[k].n_chars == len(got[k].text)
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<p>a <span class=ad>x</span> b<p>c", "a b\nc"),
+        ('<p>a <span aria-hidden="true">x</span> b</p><p>c</p>', "a b\nc"),
+        ('<p>a <a class="share">x<a>y</a> z</a> b<p>c', "a b\nc"),
+        ('<p>a <span hidden>x <span>y</span> z</span> b <i>d</i><p>c', "a b d\nc"),
+        ("<p>a <sup class=ad>x<p>c<p>d", "a\nc\nd"),
+        ("<p>a <span style='display:none'>x</p> b<p>c", "a\nb\nc"),
+        ("<ul><li>a <b class=promo>x<li>c</ul>d", "a\nc\nd"),
+        ("<div>a <span class=ad>x<p>y</p></span> b</div>c", "a\nb\nc"),
+        ("a <span>b</span> <img class=ad> c</span> d", "a b c d"),
+    ],
+)
+def test_text_after_a_skipped_inline_element(body, text):
+    assert webpages.text_of(f"<html><body><nav>n</nav><article>{body}</article><footer>f</footer></body></html>", None, frozenset()) == text
+
+
 def test_fixture_pages(spark, sf_dir):
     import html
 

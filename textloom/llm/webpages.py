@@ -76,11 +76,17 @@ def _skipped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     return tag not in ("body", "html", "article", "main") and not SKIPPED_NAMES.isdisjoint(NAME.findall(named))
 
 
+def _inline(tag: str) -> bool:
+    return tag not in BLOCKS and tag not in SKIPPED
+
+
 def parse(page: str) -> list[tuple[tuple[tuple[int, str], ...], str]]:
     """Elements and running text of a page.
 
     Returns (open elements, text) for each block's text outside skipped elements; open
-    elements are (number, path) pairs, outermost first.
+    elements are (number, path) pairs, outermost first.  A skipped element inside a line
+    (a span, a link) ends with its own end tag or with the block around it, and does not
+    break the line.
     """
     stack: list[tuple[str, str, int, bool]] = []  # tag, path, number, skipped
     out: list[tuple[tuple, str]] = []
@@ -91,13 +97,14 @@ def parse(page: str) -> list[tuple[tuple[tuple[int, str], ...], str]]:
         if run:
             text = " ".join("".join(run).split())
             run.clear()
-            if text and not (stack and stack[-1][3]):
-                out.append((tuple((s[2], s[1]) for s in stack), text))
+            if text:
+                out.append((tuple((s[2], s[1]) for s in stack if not s[3]), text))
 
     for m in TOKEN.finditer(page):
         text = m.group(5)
         if text is not None:
-            run.append(html_module.unescape(text) if "&" in text else text)
+            if not (stack and stack[-1][3]):
+                run.append(html_module.unescape(text) if "&" in text else text)
             continue
         tag = m.group(3)
         if tag is None:
@@ -107,9 +114,11 @@ def parse(page: str) -> list[tuple[tuple[tuple[int, str], ...], str]]:
             run.append(" ")
             continue
         if m.group(2):  # an end tag
-            if tag not in BLOCKS and tag not in SKIPPED:
-                continue
-            flush()
+            if _inline(tag):
+                if not (stack and stack[-1][3] and any(s[0] == tag for s in stack)):
+                    continue
+            else:
+                flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -117,15 +126,20 @@ def parse(page: str) -> list[tuple[tuple[tuple[int, str], ...], str]]:
                 if stack[k][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
                     break
             continue
-        if tag not in BLOCKS and tag not in SKIPPED:
-            attributes = _attributes(m.group(4)) if m.group(4) else {}
-            if not attributes or tag in VOID or not _skipped(tag, attributes, True):
+        attributes = _attributes(m.group(4))
+        if _inline(tag):
+            # inside a skipped element its own kind is counted, so that the right end tag ends it
+            if tag in VOID or not ((attributes and _skipped(tag, attributes, True)) or (stack and stack[-1][3] and any(s[0] == tag for s in stack))):
                 continue
         else:
-            attributes = _attributes(m.group(4))
-        flush()
-        while stack and tag in CLOSES.get(stack[-1][0], ()):
-            stack.pop()
+            flush()
+            while stack:
+                k = len(stack) - 1
+                while k and _inline(stack[k][0]):
+                    k -= 1
+                if tag not in CLOSES.get(stack[k][0], ()):
+                    break
+                del stack[k:]
         if tag in VOID or m.group(4).endswith("/"):
             continue
         number += 1
