@@ -375,6 +375,24 @@ def test_pages_by_template(spark):
         assert got[k].text == f"Title & {k}\nFirst text of {k} é more.\nSecond of {k}" and got[k].n_chars == len(got[k].text)
 
 
+def test_template_with_odd_pages(spark):
+    note = "Sign in to read on."
+    for other in ("", None, "<nav>only</nav>", "<html><body><h1>404</h1><p>Not found</p></body></html>", "<p>" + "odd words " * 900):
+        data = [(k, f"https://host.example/{k}", PAGE.format(k=k, note=note if k != 5 else "")) for k in range(12)] + [(12, "https://host.example/12", other)]
+        got = {r.page_id: r.text for r in webpages.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+        for k in range(12):
+            assert got[k] == f"Title & {k}\nFirst text of {k} é more.\nSecond of {k}"
+        assert got[12] == {None: "", "": "", "<nav>only</nav>": ""}.get(other, got[12]) and (got[12] != "") == ("<p>" in (other or ""))
+
+
+def test_slot_with_odd_pages(spark):
+    page = "<html><body><div class=top><p>{k} visitors</p></div><div class=text><p>{long} {k}</p></div></body></html>"
+    data = [(k, f"https://host.example/{k}", page.format(k=k, long="word " * 40)) for k in range(12)] + [(12, "https://host.example/12", ""), (13, "https://host.example/13", "<p>" + "odd words " * 900)]
+    got = {r.page_id: r.text for r in webpages.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert got[k] == "word " * 40 + f"{k}"
+
+
 @pytest.mark.parametrize(
     ("body", "text"),
     [

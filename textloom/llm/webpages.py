@@ -2,17 +2,21 @@
 
 Pages of a host share a template.  Its tokens - elements with their place in the page,
 and text nodes - are found by their occurrence vectors: how often a token occurs on
-each page of the host.  Tokens with equal vectors form an equivalence class; the class
-of vector (1, 1, ..., 1) is the root of the template, its elements nest by their paths,
-and what lies between them are slots.  The slot taken is the deepest container of the
-root class that still holds nearly all running text of the host; constant text nodes
-of the root class (notices repeated on every page) are part of the template, not of a
-slot, and go.  Within the slot, elements that are navigation, adverts, forms, comments
-and the like by name are cut out.
+each page of the host.  Tokens with equal vectors form an equivalence class; classes on
+at least SUPPORT of the host's pages make the template.  They nest by the paths of their
+elements, the wider class around the narrower, and what lies between them are slots.
+The slot taken is the deepest container of a class of ones and zeros that holds nearly
+all running text of the pages it is on.  Text nodes of the template's classes (notices)
+are part of the template, not of a slot, and go class by class, the widest first, as
+long as the page keeps other text.
+
+Before any vector, elements that are navigation, adverts, forms, comments and the like
+by tag, role or name are cut out (``_skipped``).  The order of a class's tokens on the
+page is not checked; their paths stand for it.
 
 Vectors are never built: a vector's fingerprint is the sum over pages of a hash of
 (page, count), added up by (host, token) with map-side combining, so a host with a
-third of all pages is no single task, and every page counts.
+third of all pages is no single task, and every page with running text counts.
 
 Defined results: null or empty html gives an empty text; a null or odd url is a host
 of its own (empty); a host with few pages, or a page without its host's slot, falls
@@ -49,7 +53,9 @@ ATTRIBUTE = re.compile(r"""([-\w:]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[a-z]+")
 #: A constant text node is template from so many pages on; a slot holds at least this share.
 MIN_PAGES, SLOT_SHARE = 10, 0.9
-MOST_BROADCAST_HOSTS = 5_000
+#: A class is template from this share of the host's pages on; shares of text are in parts of WHOLE.
+SUPPORT, WHOLE = 0.8, 1_000_000
+MOST_BROADCAST_HOSTS, HOST_PARTS = 5_000, 64
 
 
 def host_of(url: str | None) -> str:
@@ -156,62 +162,77 @@ def _hash(*parts) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"))
 
 
-TOKENS = "host string, kind string, token string, a long, b long, pages long, chars long"
+TOKENS = "host string, kind string, token string, a long, b long, pages long, times long, share long, chars long"
 
 
 def _tokens():
-    """Occurrences on each page, added up within a batch: (host, kind, token, vector sums, pages, characters)."""
+    """Occurrences on each page, added up within a batch: (host, kind, token, vector sums, pages, times, shares of the pages' text, characters)."""
 
     def run(batches):
         for batch in batches:
             for piece in _pieces(batch, "html", 4 << 20):
                 sums: dict[tuple[str, str, str], list[int]] = {}
 
-                def add(key, page, count, chars, sums=sums):
+                def add(key, page, count, chars, total, sums=sums):
                     h = _hash(page, count)
-                    s = sums.setdefault(key, [0, 0, 0, 0])
+                    s = sums.setdefault(key, [0, 0, 0, 0, 0, 0])
                     s[0] += h >> 33
                     s[1] += h & 0x7FFFFFFF
                     s[2] += 1
-                    s[3] += chars
+                    s[3] += count
+                    s[4] += chars * WHOLE // total
+                    s[5] += chars
 
                 for k, (url, page) in enumerate(zip(piece.column("url").to_pylist(), piece.column("html").to_pylist(), strict=True)):
                     host, this = host_of(url), _hash(url, piece.column("page_id")[k].as_py())
                     elements: dict[str, tuple[set, list]] = {}
                     texts: dict[str, int] = {}
-                    total = 0
-                    for open_, text in parse(page or ""):
-                        total += len(text)
+                    runs = parse(page or "")
+                    total = sum(len(text) for _, text in runs)
+                    if not total:  # nothing that a template could hold
+                        continue
+                    for open_, text in runs:
                         texts[text] = texts.get(text, 0) + 1
                         for number, path in open_:
                             if path.rpartition(">")[2].partition(".")[0] in CONTAINERS:
                                 seen, chars = elements.setdefault(path, (set(), [0]))
                                 seen.add(number)
                                 chars[0] += len(text)
-                    add((host, "page", ""), this, 1, total)
+                    add((host, "page", ""), this, 1, total, total)
                     for path, (seen, chars) in elements.items():
-                        add((host, "element", path), this, len(seen), chars[0])
+                        add((host, "element", path), this, len(seen), chars[0], total)
                     for text, count in texts.items():
-                        add((host, "text", f"{_hash(text):016x}"), this, count, len(text) * count)
+                        add((host, "text", f"{_hash(text):016x}"), this, count, len(text) * count, total)
                 rows = [(*k, *v) for k, v in sums.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["host", "kind", "token", "a", "b", "pages", "chars"])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["host", "kind", "token", "a", "b", "pages", "times", "share", "chars"])
 
     return run
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot, constant): the container of the running text, and hashes of constant text nodes."""
-    found = stored(pages.mapInArrow(_tokens(), TOKENS).groupBy("host", "kind", "token").agg(*[F.sum(c).alias(c) for c in ("a", "b", "pages", "chars")]))
-    hosts = found.where("kind = 'page'").select("host", F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("pages").alias("n"), F.col("chars").alias("total"))
-    root = found.where("kind <> 'page'").join(hosts, "host").where("a = ra and b = rb")  # the class of vector (1, ..., 1)
-    slots = root.where((F.col("kind") == "element") & (F.col("chars") >= SLOT_SHARE * F.col("total"))).groupBy("host").agg(F.max(F.struct(F.size(F.split("token", ">")).alias("depth"), "token")).alias("top")).select("host", F.col("top.token").alias("slot"))
-    constant = root.where((F.col("kind") == "text") & (F.col("n") >= MIN_PAGES)).groupBy("host").agg(F.collect_set("token").alias("constant"), F.sum("chars").alias("held"), F.max("total").alias("total"))
-    constant = constant.where("2 * held < total").select("host", "constant")  # else the pages are copies, not a template
+    """(host, slot, constant): the container of the running text, and hashes of the template's text nodes by class, the widest first."""
+    found = stored(pages.mapInArrow(_tokens(), TOKENS).groupBy("host", "kind", "token").agg(*[F.sum(c).alias(c) for c in ("a", "b", "pages", "times", "share", "chars")]))
+    hosts = found.where("kind = 'page'").select("host", F.col("pages").alias("n"), F.col("chars").alias("total"))
+    # by parts of a host, so that a host with a third of all tokens is no single task
+    parts = hosts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
+    tokens = found.where("kind <> 'page'").withColumn("part", F.pmod(F.xxhash64("token"), F.lit(HOST_PARTS)).cast("int")).join(parts, ["host", "part"]).where(F.col("pages") >= SUPPORT * F.col("n"))
+    # a class holds the tokens of one vector; what is on a share of the pages is no more than a page's tokens over that share
+    classes = tokens.groupBy("host", "a", "b", "pages").agg(
+        F.max("n").alias("n"),
+        F.max("total").alias("total"),
+        F.max(F.when((F.col("kind") == "element") & (F.col("times") == F.col("pages")) & (F.col("share") >= SLOT_SHARE * WHOLE * F.col("pages")), F.struct(F.size(F.split("token", ">")).alias("depth"), "token"))).alias("top"),
+        F.collect_set(F.when(F.col("kind") == "text", F.col("token"))).alias("texts"),
+        F.sum(F.when(F.col("kind") == "text", F.col("chars")).otherwise(0)).alias("held"),
+    )
+    slots = classes.where("top is not null").groupBy("host").agg(F.max("top").alias("top")).select("host", F.col("top.token").alias("slot"))
+    constant = classes.where((F.size("texts") > 0) & (F.col("n") >= MIN_PAGES)).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pages", "a", "b", "texts")), asc=False).alias("nested"), F.sum("held").alias("held"), F.max("total").alias("total"))
+    constant = constant.where("2 * held < total").select("host", F.col("nested.texts").alias("constant"))  # else the pages are copies, not a template
     return hosts.select("host").join(slots, "host", "left").join(constant, "host", "left")
 
 
-def text_of(page: str | None, slot: str | None, constant: frozenset[str]) -> str:
-    """The running text of a page inside its slot."""
+def text_of(page: str | None, slot: str | None, constant) -> str:
+    """The running text of a page inside its slot, without the classes of ``constant`` that leave other text."""
     runs = parse(page or "")
 
     def inside(open_) -> bool:
@@ -230,7 +251,15 @@ def text_of(page: str | None, slot: str | None, constant: frozenset[str]) -> str
         articles = {number for open_, _ in chosen for number, path in open_ if path.rpartition(">")[2].partition(".")[0] in ("article", "main")}
         if articles:
             chosen = [r for r in runs if inside(r[0]) or any(number in articles for number, _ in r[0])]
-    return "\n".join(t for _, t in chosen if not constant or f"{_hash(t):016x}" not in constant)
+    kept = [t for _, t in chosen]
+    if constant:
+        hashes = {t: f"{_hash(t):016x}" for t in kept}
+        for texts in constant:
+            left = [t for t in kept if hashes[t] not in texts]
+            if not left:  # all that is left belongs to this class: a copy of other pages
+                break
+            kept = left
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -244,7 +273,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in _pieces(batch, "html", 4 << 20):
                 cols = [piece.column(c).to_pylist() for c in ("html", "slot", "constant")]
-                texts = [text_of(page, slot, frozenset(constant or ())) for page, slot, constant in zip(*cols, strict=True)]
+                texts = [text_of(page, slot, constant) for page, slot, constant in zip(*cols, strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     joined = with_host(pages).join(found, "host", "left").select("page_id", "url", "html", "slot", "constant")
