@@ -385,6 +385,16 @@ def test_template_with_odd_pages(spark):
         assert got[12] == {None: "", "": "", "<nav>only</nav>": ""}.get(other, got[12]) and (got[12] != "") == ("<p>" in (other or ""))
 
 
+@pytest.mark.parametrize("n", [2, 3, 9, 10])
+def test_template_of_small_hosts(spark, n):
+    note = "Sign in to read on. " * 20  # more than half of the text
+    data = [(k, f"https://host.example/{k}", PAGE.format(k=k, note=note)) for k in range(n)] + [(50 + k, f"https://copies.example/{k}", PAGE.format(k=7, note=note)) for k in range(n)]
+    got = {r.page_id: r.text for r in webpages.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for k in range(n):
+        assert got[k] == f"Title & {k}\nFirst text of {k} é more.\nSecond of {k}"
+        assert got[50 + k] == f"{note.strip()}\nTitle & 7\nFirst text of 7 é more.\nSecond of 7"
+
+
 def test_slot_with_odd_pages(spark):
     page = "<html><body><div class=top><p>{k} visitors</p></div><div class=text><p>{long} {k}</p></div></body></html>"
     data = [(k, f"https://host.example/{k}", page.format(k=k, long="word " * 40)) for k in range(12)] + [(12, "https://host.example/12", ""), (13, "https://host.example/13", "<p>" + "odd words " * 900)]

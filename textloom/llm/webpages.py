@@ -19,8 +19,8 @@ Vectors are never built: a vector's fingerprint is the sum over pages of a hash
 third of all pages is no single task, and every page with running text counts.
 
 Defined results: null or empty html gives an empty text; a null or odd url is a host
-of its own (empty); a host with few pages, or a page without its host's slot, falls
-back on the page's own article, main or body; repeated rows are extracted one by one;
+of its own (empty); a page without its host's slot falls back on its own article, main
+or body; copies, which keep no text of their own, stay whole; repeated rows are extracted one by one;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -51,8 +51,8 @@ VOID = frozenset("hr input img br meta link area base col embed source track wbr
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|xmp)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][-\w:]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>|([^<]+|<)""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""([-\w:]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[a-z]+")
-#: A constant text node is template from so many pages on; a slot holds at least this share.
-MIN_PAGES, SLOT_SHARE = 10, 0.9
+#: A slot holds at least this share of a page's text.
+SLOT_SHARE = 0.9
 #: A class is template from this share of the host's pages on; shares of text are in parts of WHOLE.
 SUPPORT, WHOLE = 0.8, 1_000_000
 MOST_BROADCAST_HOSTS, HOST_PARTS = 5_000, 64
@@ -162,11 +162,11 @@ def _hash(*parts) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"))
 
 
-TOKENS = "host string, kind string, token string, a long, b long, pages long, times long, share long, chars long"
+TOKENS = "host string, kind string, token string, a long, b long, pages long, times long, share long"
 
 
 def _tokens():
-    """Occurrences on each page, added up within a batch: (host, kind, token, vector sums, pages, times, shares of the pages' text, characters)."""
+    """Occurrences on each page, added up within a batch: (host, kind, token, vector sums, pages, times, shares of the pages' text)."""
 
     def run(batches):
         for batch in batches:
@@ -175,13 +175,12 @@ def _tokens():
 
                 def add(key, page, count, chars, total, sums=sums):
                     h = _hash(page, count)
-                    s = sums.setdefault(key, [0, 0, 0, 0, 0, 0])
+                    s = sums.setdefault(key, [0, 0, 0, 0, 0])
                     s[0] += h >> 33
                     s[1] += h & 0x7FFFFFFF
                     s[2] += 1
                     s[3] += count
                     s[4] += chars * WHOLE // total
-                    s[5] += chars
 
                 for k, (url, page) in enumerate(zip(piece.column("url").to_pylist(), piece.column("html").to_pylist(), strict=True)):
                     host, this = host_of(url), _hash(url, piece.column("page_id")[k].as_py())
@@ -205,29 +204,25 @@ def _tokens():
                         add((host, "text", f"{_hash(text):016x}"), this, count, len(text) * count, total)
                 rows = [(*k, *v) for k, v in sums.items()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["host", "kind", "token", "a", "b", "pages", "times", "share", "chars"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["host", "kind", "token", "a", "b", "pages", "times", "share"])
 
     return run
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, slot, constant): the container of the running text, and hashes of the template's text nodes by class, the widest first."""
-    found = stored(pages.mapInArrow(_tokens(), TOKENS).groupBy("host", "kind", "token").agg(*[F.sum(c).alias(c) for c in ("a", "b", "pages", "times", "share", "chars")]))
-    hosts = found.where("kind = 'page'").select("host", F.col("pages").alias("n"), F.col("chars").alias("total"))
+    found = stored(pages.mapInArrow(_tokens(), TOKENS).groupBy("host", "kind", "token").agg(*[F.sum(c).alias(c) for c in ("a", "b", "pages", "times", "share")]))
+    hosts = found.where("kind = 'page'").select("host", F.col("pages").alias("n"))
     # by parts of a host, so that a host with a third of all tokens is no single task
     parts = hosts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
     tokens = found.where("kind <> 'page'").withColumn("part", F.pmod(F.xxhash64("token"), F.lit(HOST_PARTS)).cast("int")).join(parts, ["host", "part"]).where(F.col("pages") >= SUPPORT * F.col("n"))
     # a class holds the tokens of one vector; what is on a share of the pages is no more than a page's tokens over that share
     classes = tokens.groupBy("host", "a", "b", "pages").agg(
-        F.max("n").alias("n"),
-        F.max("total").alias("total"),
         F.max(F.when((F.col("kind") == "element") & (F.col("times") == F.col("pages")) & (F.col("share") >= SLOT_SHARE * WHOLE * F.col("pages")), F.struct(F.size(F.split("token", ">")).alias("depth"), "token"))).alias("top"),
-        F.collect_set(F.when(F.col("kind") == "text", F.col("token"))).alias("texts"),
-        F.sum(F.when(F.col("kind") == "text", F.col("chars")).otherwise(0)).alias("held"),
+        F.collect_set(F.when((F.col("kind") == "text") & (F.col("pages") > 1), F.col("token"))).alias("texts"),
     )
     slots = classes.where("top is not null").groupBy("host").agg(F.max("top").alias("top")).select("host", F.col("top.token").alias("slot"))
-    constant = classes.where((F.size("texts") > 0) & (F.col("n") >= MIN_PAGES)).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pages", "a", "b", "texts")), asc=False).alias("nested"), F.sum("held").alias("held"), F.max("total").alias("total"))
-    constant = constant.where("2 * held < total").select("host", F.col("nested.texts").alias("constant"))  # else the pages are copies, not a template
+    constant = classes.where(F.size("texts") > 0).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("pages", "a", "b", "texts")), asc=False).alias("nested")).select("host", F.col("nested.texts").alias("constant"))
     return hosts.select("host").join(slots, "host", "left").join(constant, "host", "left")
 
 
