@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from brute import WORD, lower
 
-from textloom.llm import fingerprints, neardup, packing, pieces, pitmanyor, quality, rules, sharding, substrings, suffixes, webpages
+from textloom.llm import common, fingerprints, neardup, packing, pieces, pitmanyor, quality, rules, seating, sharding, substrings, suffixes, webpages
 
 
 def plain(df):
@@ -69,38 +69,91 @@ def test_scores_and_base(documents, rows):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     again = {r.doc_id: r.score for r in pitmanyor.score(documents.repartition(3)).collect()}
     assert all(again[r.doc_id] == pytest.approx(r.score, rel=1e-6) for r in got)
+    # the whole model by dictionaries
+    want = brute.pitman_yor(rows, 4)
+    assert all(r.score == pytest.approx(want[r.doc_id], rel=1e-8) for r in got)
+
+
+def test_blocks_without_pairs_of_their_own(spark, monkeypatch):
+    """Blocks of copies own no pair; many small blocks give what one gives."""
+    texts = ["the cat sat on the mat and the cat sat again"] * 40 + ["", "the dog sat on the cat", None, "new words only once here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute.pitman_yor([(i, t or "") for i, t in enumerate(texts)], 4)
+    monkeypatch.setattr(common, "BLOCK_BYTES", 50)
+    got = {r.doc_id: r.score for r in pitmanyor.score(docs.repartition(7, "doc_id")).collect()}
+    assert all(got[i] == pytest.approx(want[i], rel=1e-8) for i in want)
 
 
 def test_probabilities_sum_to_one():
-    model = pitmanyor.Model(9, 3, 0.4, 0.3, 5.0)
-    model.totals = [6]
-    by_word, new = np.array([3, 2, 1]), np.array([0])
-    parent = model.parent(np.concatenate([by_word, new]), 0)
-    assert parent.sum() == pytest.approx(1) and parent[-1] == pytest.approx((1 + 0.3 * 3) / 7)
+    model = pitmanyor.Model(9, 3, 0.4)
+    model.base_discount = 0.3
+    dish, parent = np.array([3, 2, 1, 0]), np.array([2, 1, 1, 0])
+    model.at = [(6, 4, 1.5, 5.0)]
+    p = model.parent(dish, parent, 0)
+    assert p.sum() == pytest.approx(1) and p[-1] == pytest.approx((1.5 + 0.3 * 4) / 4 / 7.5)
     c, tables = np.array([4, 1, 0, 0]), np.array([2, 1, 0, 0])
-    p = (np.maximum(c - 0.4 * tables, 0) + (5 + 0.4 * tables.sum()) * parent) / (5 + c.sum())
+    p = (np.maximum(c - 0.4 * tables, 0) + (5 + 0.4 * tables.sum()) * p) / (5 + c.sum())
     assert p.sum() == pytest.approx(1)
 
 
-def test_seating_is_a_chinese_restaurant():
-    n, key = 40_000, np.arange(40_000, dtype=np.uint64)
-    a, d = np.full(n, 0.7), 0.4
-    two = pitmanyor.seat(np.full(n, 2), a, d, pitmanyor.mix(key), 1)
-    assert abs((two == 2).mean() - 0.7 / (0.7 + 0.6)) < 0.01
-    # three customers: partitions weigh a^(tables - 1) times the product of (1-d)(2-d).. over tables
-    three = pitmanyor.seat(np.full(n, 3), a, d, pitmanyor.mix(key + np.uint64(n)), 1)
-    one, pair, each = (1 - d) * (2 - d), 3 * 0.7 * (1 - d), 0.7**2
-    total = one + pair + each
-    for k, w in ((1, one), (2, pair), (3, each)):
-        assert abs((three == k).mean() - w / total) < 0.012
-    big = pitmanyor.seat(np.array([1, 50, 100_000]), np.full(3, 0.1), d, pitmanyor.mix(key[:3]), 1)
-    assert big[0] == 1 and (big >= 1).all() and (big <= [1, 50, 100_000]).all()
+def enumerated(c, lead, slope, d):
+    """Chances of 1.. tables by seating the customers one by one in every way (counts of ways by table sizes)."""
+    ways = {(1,): 1.0}
+    for _ in range(c - 1):
+        after = Counter()
+        for sizes, w in ways.items():
+            for k, n in enumerate(sizes):
+                after[tuple(sorted((*sizes[:k], n + 1, *sizes[k + 1 :])))] += w * (n - d)
+            after[tuple(sorted((*sizes, 1)))] += w * (lead + slope * len(sizes))
+        ways = after
+    by = Counter()
+    for sizes, w in ways.items():
+        by[len(sizes)] += w
+    return np.array([by[t] for t in range(1, c + 1)]) / sum(by.values())
+
+
+@pytest.mark.parametrize(("c", "lead", "slope", "d"), [(2, 0.7, 0.1, 0.4), (7, 0.7, 0.1, 0.4), (9, 3.0, 0.02, 0.8)])
+def test_seating_is_a_chinese_restaurant(c, lead, slope, d):
+    n = 40_000
+    key = common.mix(np.arange(n, dtype=np.uint64) + np.uint64(n * c))
+    got = seating.seat(np.full(n, c), np.full(n, lead), np.full(n, slope), d, key, 1)
+    assert np.abs(np.bincount(got, minlength=c + 1)[1:] / n - enumerated(c, lead, slope, d)).max() < 0.012
+
+
+@pytest.mark.parametrize("c", [40, 41, 300])
+def test_steps_keep_the_distribution_on_either_side_of_the_list(c):
+    n, lead, slope, d = 6000, 6.0, 0.1, 0.7
+    w = seating.ways(d, c)[c, 1 : c + 1] + np.concatenate([[0], np.cumsum(np.log(lead + slope * np.arange(1, c)))])
+    p = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+    now = np.random.default_rng(c).choice(np.arange(1, c + 1), n, p=p)
+    key = common.mix(np.arange(n, dtype=np.uint64))
+    after = seating.seat(np.full(n, c), np.full(n, lead), np.full(n, slope), d, key, 3, now)
+    mean, sd = (p * np.arange(1, c + 1)).sum(), np.sqrt((p * np.arange(1, c + 1) ** 2).sum() - (p * np.arange(1, c + 1)).sum() ** 2)
+    assert (after != now).mean() > 0.5
+    for x in (now, after):
+        assert abs(x.mean() - mean) < 5 * sd / np.sqrt(n) and abs(x.std() - sd) < 0.06 * sd
+
+
+def test_ways_to_seat_many():
+    for d in (0.1, 0.5, 0.9):
+        exact = seating.ways(d, 400)
+        for c in (41, 90, 400):
+            t = np.arange(1, c + 1)
+            assert np.abs(seating.log_ways(np.full(c, c), t, d) + math.lgamma(c + 1) - exact[c, 1 : c + 1]).max() < (2e-3 if d == 0.9 else 1e-6)
+    # a table more or less: S(c + 1, t) = (c - t d) S(c, t) + S(c, t - 1), for any c
+    for c, t in ((10**6, 1000), (10**9, 50), (10**9, 2)):
+        at = lambda c, t: float(seating.log_ways(np.array([c]), np.array([t]), 0.6)[0])
+        assert at(c + 1, t) + math.log(c + 1) == pytest.approx(np.logaddexp(math.log(c - t * 0.6) + at(c, t), at(c, t - 1)), abs=1e-4)
+    assert (seating.seat(np.array([10**10]), np.array([50.0]), np.array([0.01]), 0.6, np.array([1], np.uint64), 1) > 40).all()
+    assert not len(seating.seat(*(np.zeros(0, k) for k in (np.int64, float, float)), 0.6, np.zeros(0, np.uint64), 1))
 
 
 def test_packed_numbers():
     rng = np.random.default_rng(2)
     arrays = [rng.integers(0, 2**k, 50) for k in (1, 8, 20, 62)] + [np.zeros(0, np.int64)]
     assert all((a == b).all() for a, b in zip(arrays, pitmanyor.take(pitmanyor.put(*arrays)), strict=True))
+    rising = np.sort(mixed := common.mix(np.arange(50, dtype=np.uint64)))
+    assert len(mixed) and (pitmanyor.risen(pitmanyor.steps(rising), np.uint64) == rising).all()
 
 
 def test_scores_of_odd_texts(odd):
@@ -108,6 +161,8 @@ def test_scores_of_odd_texts(odd):
     assert len(out) == odd.count() and all(math.isfinite(r.score) and r.score <= 1e-9 for r in out)
     assert {r.n_tokens for r in out if r.doc_id in (1, 2, 3)} == {1}
     assert plain(pitmanyor.score(odd.limit(0))) == []
+    held = odd.where("doc_id is not null").where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")
+    assert all(r.score == 0 and r.train_tokens == 0 for r in pitmanyor.score(held).collect())
 
 
 # ------------------------------------------------------------------ 3

@@ -16,6 +16,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,11 +36,17 @@ _left_behind: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests) a fresh one."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master (one machine, as in tests) gets a fresh folder; on a
+    cluster that is an error, as executors do not see each other's disks.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -61,18 +68,24 @@ def _clean() -> None:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """Arrow batches of a few MB while a table is written: both sides of the pipe hold one per task."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(BATCH_BYTES))
+def writing(spark: SparkSession):
+    """Settings while a table is written.
+
+    Arrow batches are a few MB, as both sides of the pipe hold one per task, and Spark
+    deletes the shuffle files of the write when it is done.
+    """
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def stored(df: DataFrame, rows_per_group: int | None = None) -> DataFrame:
@@ -87,7 +100,7 @@ def stored(df: DataFrame, rows_per_group: int | None = None) -> DataFrame:
     writer = df.write
     if rows_per_group:
         writer = writer.option("parquet.block.row.count.limit", rows_per_group)
-    with small_batches(spark):
+    with writing(spark):
         writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -103,17 +116,6 @@ def discard(*tables: DataFrame) -> None:
             _left_behind[:] = [x for x in _left_behind if x[1] != path]
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of frames that are no longer referenced."""
-    import gc
-    import time
-
-    for _ in range(2):  # the first lets go of plans, the second of what they held
-        gc.collect()
-        time.sleep(0.05)
-        spark.sparkContext._jvm.System.gc()
-
-
 def docs_view(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id long, text string), text never null; other columns cannot clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -252,11 +252,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shared = band.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = stored(band.join(shared, ["band", "key"]))  # members of the buckets with two sets or more
     stars = stored(buckets.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
-    common.free_shuffles(spark)
     ids = stored(stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct())
     sets = stored(shingle_sets(docs.where("doc_id is not null"), ids, words))
     links = stored(confirmed(stars, sets, percent))
-    common.free_shuffles(spark)
     found = stored(components(links))
     placed = buckets.select("band", "key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("band", "key")

@@ -1,20 +1,27 @@
 """Language-model scores from a hierarchical Pitman-Yor model of word pairs.
 
 Every word (and the start of a text) is a context with a restaurant of its own; all
-context restaurants send their tables as customers to one shared parent, the
-restaurant of single words, whose base is diffuse: a known word has one table there and
-what is left is the chance of a word never seen.  Seatings are sampled by Gibbs sweeps
-and the predictive probabilities of the sweeps are averaged.
+context restaurants send their tables as customers to one shared parent, the restaurant
+of single words, whose own tables are drawn as well; its base gives every known word and
+"a word never seen" the same chance.  Seatings are sampled by Gibbs sweeps (``seating``):
+a sweep takes the customers of a dish out of their restaurant and seats them anew given
+all others, for every dish of every restaurant, then the parent's.  After each sweep the
+strengths are drawn from their posteriors on a grid.  The first BURN_IN sweeps are
+dropped; the predictive probabilities of the last two are averaged.
+
+Dishes are seated at the same time, each given the others as the sweep before left them,
+and the parent's chances stand still while a context's dish is seated.  The discounts come
+from counts of counts and stay.
 
 Documents are packed into blocks; blocks exchange counts of words and of word pairs
-with buckets of the key space (see ``common``).  A pair seen once has one table, so
-only pairs seen twice or more are sampled, by the first block that has them, and any
-other block repeats the draw: random numbers are hashes of the pair and the sweep.
-Between sweeps blocks exchange tables by word, so a context that precedes a third of
-all words costs one entry per block.  The discounts come from counts of counts, the
-strength from the leave-one-out likelihood of the training pairs.
-
-Words are keyed by 64-bit hashes, pairs within a bucket by 40 bits of one.  Defined
+with buckets of the key space (see ``common``).  A pair seen once has one table, so only
+pairs seen twice or more are seated, each by the first block that has it in training;
+after the last sweep all other blocks get its tables through the buckets.  Between sweeps
+blocks exchange tables by word, so a context that precedes a third of all words costs one
+entry per block.  Random numbers are hashes of the pair's place in its bucket and the
+sweep, so results depend neither on blocks nor on retries.
+
+Words are keyed by 64-bit hashes, pairs by 40 bits of one within a bucket.  Defined
 results: a null or empty text is its end token; rows that repeat are counted and
 scored one by one; a null id is in the training part; without training rows every
 probability is 1 (score 0); an empty table gives an empty result; only id and text
@@ -30,24 +37,29 @@ from pyspark.sql import functions as F
 
 from textloom.llm import common
 from textloom.llm.common import coded, docs_view, from_ipc, mix, packed, reply_to, spread, stored, text_bytes, words_of
+from textloom.llm.seating import log_gamma_ratio, seat, uniform
 from textloom.llm.substrings import bucket_of, squeeze, unsqueeze
 
 FOLDS, HELD_OUT = 7, 2
 END, START = np.uint64(0x0E17D), np.uint64(0x057A27)
-SWEEPS = 2
-#: Up to so many customers of a dish are seated by their exact distribution.
-MOST_AT_ONCE = 40
-STRENGTHS = (0.5, 2.0, 8.0, 32.0, 128.0, 512.0, 2048.0, 8192.0, 32768.0)
+BURN_IN, SWEEPS = 2, 4
+STRENGTHS = (0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 128.0, 512.0, 2048.0)
 TEXT_PER_BUCKET = 8 << 20
-#: Buckets of pairs are numbered from here in replies; a block's own rows are negative.
-PAIRS = 1 << 28
+#: Buckets of pairs are numbered from PAIRS when counted, from ASKS and TELLS when tables are passed on.
+PAIRS, ASKS, TELLS = 1 << 28, 1 << 29, 3 << 28
+#: A block's own rows.
+OWN, COUNTS, SEATED, BEGAN, LIKELY = -1, -2, -3, -4, -5
 GOLD, SILVER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * GOLD + mix(second) * SILVER)
+
+
 class Tokens:
-    """The words and word pairs of a block, in an order every pass repeats."""
+    """The words and word pairs of a block, in an order every pass repeats; pairs by their hash."""
 
-    def __init__(self, payload: bytes, pairs: bool = True) -> None:
+    def __init__(self, payload: bytes) -> None:
         table = from_ipc(payload)
         self.doc_id, self.held = table["doc_id"], table["held"].to_numpy(zero_copy_only=False).astype(bool)
         n = table.num_rows
@@ -64,18 +76,18 @@ class Tokens:
         inside[stops] = False
         self.token[inside] = inverse[codes]
         self.doc = np.repeat(np.arange(n), self.sizes)
-        self.train = ~self.held[self.doc]
-        self.counts = np.bincount(self.token[self.train], minlength=len(self.words))
-        if not pairs:
-            return
+        train = ~self.held[self.doc]
+        self.counts = np.bincount(self.token[train], minlength=len(self.words))
         context = np.concatenate([[start], self.token[:-1]])
         context[np.concatenate([[0], stops[:-1] + 1])] = start
-        key, self.pair = np.unique(context * len(self.words) + self.token, return_inverse=True)
-        self.u, self.w = key // len(self.words), key % len(self.words)
-        self.pair_counts = np.bincount(self.pair[self.train], minlength=len(key))
-        h = mix(self.words[self.u] * GOLD + mix(self.words[self.w]) * SILVER)
-        self.order = np.argsort(h)  # pairs as they are sent
-        self.pair_hash = h[self.order]
+        key, pair = np.unique(context * len(self.words) + self.token, return_inverse=True)
+        u, w = key // len(self.words), key % len(self.words)
+        h = pair_hash(self.words[u], self.words[w])
+        order = np.argsort(h)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair, self.u, self.w, self.pair_hash = place[pair], u[order], w[order], h[order]
+        self.pair_counts = np.bincount(self.pair[train], minlength=len(key))
 
 
 def edges_of(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
@@ -83,6 +95,11 @@ def edges_of(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(bucket_of(sorted_hashes, n), np.arange(n + 1))
 
 
+def each_bucket(edges: np.ndarray):
+    """(bucket, first, end) of the buckets that hold something."""
+    return ((k, a, b) for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a)
+
+
 def put(*arrays: np.ndarray) -> bytes:
     """Arrays of whole numbers, each as its byte planes (most are zero and shrink to nothing)."""
     parts = [np.array([len(arrays), *[len(a) for a in arrays]], "<i8").tobytes()]
@@ -107,6 +124,15 @@ def take(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def steps(rising: np.ndarray) -> np.ndarray:
+    """A rising series as its first value and its steps, which are small."""
+    return np.diff(rising, prepend=rising.dtype.type(0)).view(np.int64)
+
+
+def risen(values: np.ndarray, kind=np.int64) -> np.ndarray:
+    return np.cumsum(values.view(kind))
+
+
 def _rows(block: int, rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -114,6 +140,11 @@ def _rows(block: int, rows: list[tuple[int, bytes]]) -> pa.Table:
 THREE = "block long, bucket int, payload binary"
 
 
+def key_shift(n: int) -> np.uint64:
+    """Bits of a pair's hash that are left out: 40 stay beyond those that choose the bucket."""
+    return np.uint64(max(0, 24 - int(n).bit_length()))
+
+
 def _send(n: int):
     """Counts of words (buckets 0..n) and of pairs (PAIRS..) of every block."""
 
@@ -121,12 +152,9 @@ def _send(n: int):
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 t = Tokens(payload)
-                edges = edges_of(t.words, n)
-                rows = [(k, put(t.words[a:b].view(np.int64), t.counts[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-                edges, counts = edges_of(t.pair_hash, n), t.pair_counts[t.order]
-                low = (t.pair_hash & np.uint64((1 << 40) - 1)).view(np.int64)
-                # in a bucket the low halves are not sorted; the order is the block's own
-                rows += [(PAIRS + k, put(low[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+                rows = [(k, put(steps(t.words[a:b]), t.counts[a:b])) for k, a, b in each_bucket(edges_of(t.words, n))]
+                short = t.pair_hash >> key_shift(n)
+                rows += [(PAIRS + k, put(steps(short[a:b]), t.pair_counts[a:b])) for k, a, b in each_bucket(edges_of(t.pair_hash, n))]
                 del t
                 yield from _rows(block, rows).to_batches()
                 common.tidy()
@@ -137,234 +165,207 @@ def _send(n: int):
 def _count(key: tuple, table: pa.Table) -> pa.Table:
     """Corpus counts, aligned to what each block sent; totals of the bucket under block -1.
 
-    Words get (count, number in the bucket); pairs (count, 1 for the first block that has it).
+    Words get (count, number in the bucket, own); pairs (count, own, numbers of those seen twice
+    or more, as steps).  A block owns what it is the first to have in training.
     """
     bucket = key[0].as_py()
-    blocks = table["block"].to_numpy()
-    got = [take(x) for x in table["payload"].to_pylist()]
-    sizes = [len(g[0]) for g in got]
-    keys, counts = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-    distinct, index = np.unique(keys.view(np.uint64), return_inverse=True)
+    sent = sorted(zip(table["block"].to_pylist(), table["payload"].to_pylist(), strict=True), reverse=True)
+    blocks, got = [b for b, _ in sent], [take(x) for _, x in sent]
+    keys, counts = np.concatenate([risen(g[0], np.uint64) for g in got]), np.concatenate([g[1] for g in got])
+    distinct, index = np.unique(keys, return_inverse=True)
     total = np.bincount(index, counts, minlength=len(distinct)).astype(np.int64)
-    if bucket < PAIRS:
-        second = index
-    else:
-        mine = np.repeat(blocks, sizes)
-        first = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(first, index[counts > 0], mine[counts > 0])
-        second = (first[index] == mine).astype(np.int64)
-    cuts = np.cumsum(sizes)[:-1]
-    answers = [put(a, b) for a, b in zip(np.split(total[index], cuts), np.split(second, cuts), strict=True)]
-    sums = put(np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum()]))
-    del got, keys, counts, distinct, index, second
+    parts = np.split(index, np.cumsum([len(g[0]) for g in got])[:-1])
+    owner = np.zeros(len(distinct), np.int64)
+    for k, (mine, g) in enumerate(zip(parts, got, strict=True)):  # the first block comes last and stays
+        owner[mine[g[1] > 0]] = k
+    number, answers = np.cumsum(total > 1) - 1, []
+    for k, (mine, g) in enumerate(zip(parts, got, strict=True)):
+        own = ((owner[mine] == k) & (g[1] > 0)).astype(np.int64)
+        answers.append(put(total[mine], mine, own) if bucket < PAIRS else put(total[mine], own, steps(number[mine][total[mine] > 1])))
+    sums = put(np.array([total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum(), 0]))
+    del got, keys, counts, distinct, index, parts
     common.tidy()
-    return pa.table({"block": pa.array([*blocks.tolist(), -1], pa.int64()), "bucket": pa.array([bucket] * (len(answers) + 1), pa.int32()), "payload": pa.array([*answers, sums], pa.binary())})
+    return pa.table({"block": pa.array([*blocks, -1], pa.int64()), "bucket": pa.array([bucket] * (len(answers) + 1), pa.int32()), "payload": pa.array([*answers, sums], pa.binary())})
 
 
-def _gather(t_edges: np.ndarray, got: dict[int, bytes], base: int, n: int, column: int) -> np.ndarray:
-    out = np.zeros(int(t_edges[-1]), np.int64)
-    for k in range(n):
-        if t_edges[k + 1] > t_edges[k]:
-            out[t_edges[k] : t_edges[k + 1]] = got[base + k][column]
+def _gather(edges: np.ndarray, got: dict[int, list[np.ndarray]], base: int, column: int) -> np.ndarray:
+    out = np.zeros(int(edges[-1]), np.int64)
+    for k, a, b in each_bucket(edges):
+        out[a:b] = got[base + k][column]
     return out
 
 
 def _kitchen(n: int):
-    """A block's restaurants: what the sweeps need of it, and its word ids for the exchange (bucket 0..n)."""
+    """A block's restaurants: what the sweeps need of it, its word ids for the exchange (bucket 0..n) and the pairs whose tables it will ask for."""
 
     def answer(block: int, payload: bytes, got: dict[int, bytes]) -> pa.Table:
         t = Tokens(payload)
         got = {k: take(v) for k, v in got.items()}
-        edges = edges_of(t.words, n)
-        count, number = _gather(edges, got, 0, n, 0), _gather(edges, got, 0, n, 1)
-        pair_edges = edges_of(t.pair_hash, n)
-        c, own = np.empty(len(t.order), np.int64), np.empty(len(t.order), np.int64)
-        c[t.order], own[t.order] = _gather(pair_edges, got, PAIRS, n, 0), _gather(pair_edges, got, PAIRS, n, 1)
-        size = len(t.words)
-        single = (own == 1) & (c == 1)
-        many = np.flatnonzero((own == 1) & (c > 1))
+        edges, pair_edges = edges_of(t.words, n), edges_of(t.pair_hash, n)
+        count, number, first = (_gather(edges, got, 0, k) for k in range(3))
+        c, own = (_gather(pair_edges, got, PAIRS, k) for k in range(2))
+        size, own = len(t.words), own.astype(bool)
+        single, many = own & (c == 1), own & (c > 1)
         customers = count.copy()
-        customers[t.start] = count[t.end]
-        held = put(count, customers, number, np.diff(edges), np.bincount(t.u[single], minlength=size), np.bincount(t.w[single], minlength=size), t.u[many], t.w[many], c[many])
+        # a text has one of each; nothing follows an end
+        customers[t.start], customers[t.end], first[t.start] = count[t.end], 0, first[t.end]
+        asks, keys, shares = [], [np.zeros(0, np.int64)], np.zeros(n, np.int64)
+        for k, a, b in each_bucket(pair_edges):
+            numbers, mine = got[PAIRS + k][2], own[a:b][c[a:b] > 1]
+            if len(numbers):
+                asks.append((ASKS + k, put(numbers, mine)))
+                keys.append((np.int64(k) << np.int64(40)) | risen(numbers)[mine])
+                shares[k] = mine.sum()
+        held = put(count, customers, number, np.diff(edges), first, np.bincount(t.u[single], minlength=size), np.bincount(t.w[single], minlength=size), t.u[many], t.w[many], c[many], np.concatenate(keys), shares)
         # before any sweep a pair has one table
-        first = own == 1
-        rows = _tables(edges, number, np.bincount(t.u[first], minlength=size), np.bincount(t.w[first], minlength=size))
-        return _rows(block, [(-1, held), (-2, put(c)), *rows])
+        rows = _tables(edges, number, np.bincount(t.u[own], minlength=size), np.bincount(t.w[own], minlength=size))
+        return _rows(block, [(OWN, held), (COUNTS, put(c)), *asks, *rows])
 
     return answer
 
 
 def _tables(edges: np.ndarray, number: np.ndarray, by_context: np.ndarray, by_word: np.ndarray) -> list[tuple[int, bytes]]:
     """What a block adds to the tables of its words, per bucket: (numbers as steps, tables)."""
-    return [(k, put(np.diff(number[a:b], prepend=0), by_context[a:b], by_word[a:b])) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-
-
-def _sum_tables(key: tuple, table: pa.Table) -> pa.Table:
-    """Tables of each word as a context and as a dish, summed over blocks and sent back."""
-    got = [take(x) for x in table["payload"].to_pylist()]
-    numbers = [np.cumsum(g[0]) for g in got]
-    size = max(int(x.max()) for x in numbers) + 1
-    sums = [np.zeros(size, np.int64), np.zeros(size, np.int64)]
-    for number, g in zip(numbers, got, strict=True):
-        sums[0][number] += g[1]
-        sums[1][number] += g[2]
-    answers = [put(sums[0][x], sums[1][x]) for x in numbers]
-    total = put(np.array([sums[1].sum(), (sums[1] > 0).sum(), (sums[1] == 1).sum(), (sums[1] == 2).sum()]))
-    del got, numbers
-    common.tidy()
-    return pa.table({"block": pa.array([*table["block"].to_pylist(), -1], pa.int64()), "bucket": pa.array([key[0].as_py()] * (len(answers) + 1), pa.int32()), "payload": pa.array([*answers, total], pa.binary())})
-
-
-def uniform(key: np.ndarray, draw: int) -> np.ndarray:
-    """Numbers in (0, 1) that depend on the key and the draw only."""
-    return ((mix(key + np.uint64(draw * int(GOLD) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-
-
-def partitions(discount: float, most: int) -> np.ndarray:
-    """log weights [c, t] of all ways to seat c customers at t tables, without the new-table weights.
-
-    A way weighs the product of (1 - d)(2 - d)... over its tables: generalised Stirling numbers.
-    """
-    out = np.full((most + 1, most + 1), -np.inf)
-    out[1, 1] = 0.0
-    for c in range(1, most):
-        t = np.arange(1, most + 1)
-        stay = out[c, 1:] + np.log(np.maximum(c - t * discount, 1e-300))
-        out[c + 1, 1:] = np.logaddexp(np.where(t <= c, stay, -np.inf), out[c, :-1])
-    return out
-
-
-_partitions: dict[float, np.ndarray] = {}
-
-
-def seat(c: np.ndarray, a: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of dishes with c customers; ``a`` is the weight of a new table.
-
-    A Gibbs step takes all customers of a dish out and seats them anew, given everybody
-    else: for up to MOST_AT_ONCE customers the number of tables is drawn from its exact
-    distribution over all seatings, beyond that customers are seated in ever longer runs.
-    """
-    tables = np.ones(len(c), np.int64)
-    if discount not in _partitions:
-        _partitions[discount] = partitions(discount, MOST_AT_ONCE)
-    ways = _partitions[discount]
-    x = uniform(key, sweep)
-    order = np.argsort(c, kind="stable")
-    sizes, start = np.unique(c[order], return_index=True)
-    for size, at in zip(sizes.tolist(), np.split(order, start[1:]), strict=True):
-        if size == 1 or size > MOST_AT_ONCE:
-            continue
-        w = ways[size, 1 : size + 1][None, :] + np.log(np.maximum(a[at], 1e-300))[:, None] * np.arange(size)
-        w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
-        tables[at] = 1 + (w < (x[at] * w[:, -1])[:, None]).sum(1)
-    large = np.flatnonzero(c > MOST_AT_ONCE)
-    if len(large):
-        t, seated, step = np.ones(len(large)), 1, 1
-        most = int(c[large].max())
-        while seated < most:
-            run = max(1, seated // 8)
-            n = np.clip(c[large] - seated, 0, run)
-            p = np.minimum(a[large] / (a[large] + np.maximum(seated + n / 2 - discount * t, 1e-9)), 1.0)
-            t += np.minimum(np.floor(n * p + uniform(key[large], sweep + 1000 * step)), n)  # the mean, rounded at random
-            seated += run
-            step += 1
-        tables[large] = t.astype(np.int64)
-    return np.minimum(tables, c)
+    return [(k, put(steps(number[a:b]), by_context[a:b], by_word[a:b])) for k, a, b in each_bucket(edges)]
 
 
 class Model:
-    """Numbers every block shares: discounts, strengths and totals."""
-
-    def __init__(self, tokens: int, types: int, discount: float, base_discount: float, strength: float = 32.0) -> None:
-        self.tokens, self.types = tokens, types
-        self.discount, self.base_discount, self.strength = discount, base_discount, strength
-        self.totals: list[int] = []  # customers of the parent, by sweep
-
-    def parent(self, by_word: np.ndarray, sweep: int) -> np.ndarray:
-        """Parent probability of each word; a word never seen has all that is left."""
-        total = 1.0 + self.totals[sweep]
-        return np.where(by_word > 0, by_word - self.base_discount, 1.0 + self.base_discount * self.types) / total
-
-    def tables(self, state: list[np.ndarray], u: np.ndarray, w: np.ndarray, c: np.ndarray, ids: np.ndarray, sweep: int) -> np.ndarray:
-        """Tables of pairs in ``sweep`` + 1, given the state of ``sweep``."""
-        out = (c > 0).astype(np.int64)
-        many = np.flatnonzero(c > 1)
-        a = (self.strength + self.discount * state[0][u[many]]) * self.parent(state[1], sweep)[w[many]]
-        key = mix(ids[u[many]].astype(np.uint64) * GOLD + ids[w[many]].astype(np.uint64))
-        out[many] = seat(c[many], a, self.discount, key, sweep + 1)
-        return out
-
+    """Numbers every block shares; ``at`` holds, for each state, (parent customers, parent tables, parent strength, strength)."""
+
+    def __init__(self, tokens: int, types: int, discount: float) -> None:
+        self.tokens, self.types, self.discount = tokens, types, discount
+        self.base_discount, self.base = 0.5, 1.0 / (types + 1.0)
+        self.at: list[tuple[int, int, float, float]] = []
+
+    def parent(self, dish: np.ndarray, tables: np.ndarray, state: int, out: np.ndarray | int = 0) -> np.ndarray:
+        """Parent probability of words with ``dish`` customers at ``tables`` tables, ``out`` of all customers being away."""
+        customers, all_tables, strength, _ = self.at[state]
+        held = np.maximum(dish - self.base_discount * np.minimum(tables, dish), 0)
+        return (held + (strength + self.base_discount * all_tables) * self.base) / (strength + customers - out)
+
+    def draw_strength(self, likely: np.ndarray, draw: int) -> float:
+        """One value of the grid by its posterior (a flat prior on the grid)."""
+        w = np.cumsum(np.exp(likely - likely.max()))
+        return STRENGTHS[int(np.searchsorted(w, uniform(np.array([draw], np.uint64), 99)[0] * w[-1]))]
+
+    def parent_likelihoods(self, customers: int, tables: int) -> np.ndarray:
+        return strength_likelihoods(np.array([tables]), np.array([customers]), self.base_discount)
+
+
+def strength_likelihoods(tables: np.ndarray, customers: np.ndarray, discount: float) -> np.ndarray:
+    """log of how likely restaurants with so many tables and customers are, for each strength."""
+    out = []
+    for s in STRENGTHS:
+        rise = tables * np.log(discount) + log_gamma_ratio(s / discount + tables, s / discount)
+        out.append(float((rise - log_gamma_ratio(s + customers, s)).sum()))
+    return np.array(out)
+
+
+def _sum_tables(model: Model, sweep: int):
+    """Tables of each word as a context and as a dish, summed over blocks, and its tables in the parent, drawn here."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        got = [take(x) for x in table["payload"].to_pylist()]
+        numbers = [risen(g[0]) for g in got]
+        size = max(int(x.max()) for x in numbers) + 1
+        context, dish, parent = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for number, g in zip(numbers, got, strict=True):
+            context[number] += g[1]
+            dish[number] += g[2]
+        known = np.flatnonzero(dish)
+        parent[known] = 1
+        if sweep:
+            _, all_tables, strength, _ = model.at[-1]
+            lead = np.full(len(known), (strength + model.base_discount * (all_tables - 1)) * model.base)
+            ids = mix((known + (np.int64(bucket) << np.int64(40))).astype(np.uint64) + SILVER)
+            parent[known] = seat(dish[known], lead, np.full(len(known), model.base_discount * model.base), model.base_discount, ids, sweep)
+        answers = [put(context[x], dish[x], parent[x]) for x in numbers]
+        total = put(np.array([dish.sum(), (dish > 0).sum(), (dish == 1).sum(), (dish == 2).sum(), parent.sum()]))
+        del got, numbers
+        common.tidy()
+        return pa.table({"block": pa.array([*table["block"].to_pylist(), -1], pa.int64()), "bucket": pa.array([bucket] * (len(answers) + 1), pa.int32()), "payload": pa.array([*answers, total], pa.binary())})
 
-def _global_ids(number: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return (np.repeat(np.arange(len(sizes)), sizes) << 32) | number
+    return run
 
 
 def _state(got: dict[int, bytes], sizes: np.ndarray) -> list[np.ndarray]:
-    edges, n = np.concatenate([[0], np.cumsum(sizes)]), len(sizes)
-    got = {k: take(v) for k, v in got.items() if 0 <= k < n}
-    return [_gather(edges, got, 0, n, 0), _gather(edges, got, 0, n, 1)]
-
-
-def _likelihoods(model: Model):
-    """Leave-one-out log likelihood of a block's own pairs at each strength."""
-
-    def answer(block: int, payload: bytes, got: dict[int, bytes]) -> pa.Table:
-        _, customers, _, sizes, single, _, u, w, c = take(payload)
-        by_context, by_word = _state(got, sizes)
-        base, d, out = model.parent(by_word, 0), model.discount, []
-        at = np.flatnonzero(single)
-        for s in STRENGTHS:
-            alone = (single[at] * np.log((s + d * (by_context[at] - 1)) / (s + customers[at] - 1))).sum()
-            rest = (c * np.log((c - 1 - d + (s + d * by_context[u]) * base[w]) / (s + customers[u] - 1))).sum()
-            out.append(float(alone + rest))
-        return pa.table({"strength": pa.array(STRENGTHS), "value": pa.array(out)})
-
-    return answer
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    got = {k: take(v) for k, v in got.items() if 0 <= k < len(sizes)}
+    return [_gather(edges, got, 0, k) for k in range(3)]
 
 
 def _sweep(model: Model, sweep: int):
-    """One Gibbs sweep over a block's own pairs: tables to add up, and the state it started from."""
+    """One Gibbs sweep over a block's own pairs: tables to add up, where the dishes are now, how likely the strengths are.
+
+    The last sweep also keeps the state it began with and tells the tables of the last two.
+    """
 
     def answer(block: int, payload: bytes, got: dict[int, bytes]) -> pa.Table:
-        _, _, number, sizes, single_u, single_w, u, w, c = take(payload)
-        state = _state(got, sizes)
-        tables = model.tables(state, u, w, c, _global_ids(number, sizes), sweep)
-        by_context, by_word = single_u.astype(float), single_w.astype(float)
-        by_context += np.bincount(u, tables, minlength=len(number))
-        by_word += np.bincount(w, tables, minlength=len(number))
+        _, customers, number, sizes, first, single_u, single_w, u, w, c, keys, shares = take(payload)
+        context, dish, parent = state = _state(got, sizes)
+        before = take(got[SEATED])[0] if SEATED in got else np.ones(len(c), np.int64)
+        strength, d = model.at[sweep][3], model.discount
+        # the dish's own tables are away, but for the first that it always has
+        p = model.parent(dish[w] - before + 1, parent[w], sweep, before - 1)
+        lead = (strength + d * (context[u] - before)) * p
+        now = seat(c, lead, d * p, d, mix(keys.astype(np.uint64)), sweep + 1, before if sweep else None)
+        by_context, by_word = single_u + np.bincount(u, now, minlength=len(number)).astype(np.int64), single_w + np.bincount(w, now, minlength=len(number)).astype(np.int64)
         edges = np.concatenate([[0], np.cumsum(sizes)])
-        return _rows(block, [(-10 - sweep, put(*state)), *_tables(edges, number, by_context, by_word)])
+        mine = np.flatnonzero((first == 1) & (customers > 1))
+        likely = strength_likelihoods(context[mine], customers[mine], d)
+        rows = [(SEATED, put(now)), (LIKELY, likely.tobytes()), *_tables(edges, number, by_context, by_word)]
+        if sweep == SWEEPS - 1:
+            ends = np.concatenate([[0], np.cumsum(shares)])
+            rows += [(BEGAN, put(*state)), *[(TELLS + k, put(before[a:b], now[a:b])) for k, a, b in each_bucket(ends)]]
+        return _rows(block, rows)
 
     return answer
 
 
-def _score(model: Model):
+def _pass_on(key: tuple, table: pa.Table) -> pa.Table:
+    """Tables of the last two sweeps, from the blocks that seated the pairs to all that have them."""
+    asked, told = {}, {}
+    for block, bucket, payload in zip(table["block"].to_pylist(), table["bucket"].to_pylist(), table["payload"].to_pylist(), strict=True):
+        (asked if bucket < TELLS else told)[block] = take(payload)
+    numbers = {b: risen(x[0]) for b, x in asked.items()}
+    size = max(int(x[-1]) for x in numbers.values()) + 1
+    tables = np.ones((2, size), np.int64)
+    for block, both in told.items():
+        tables[:, numbers[block][asked[block][1] == 1]] = both
+    answers = [put(*tables[:, x]) for x in numbers.values()]
+    common.tidy()
+    return pa.table({"block": pa.array(list(numbers), pa.int64()), "bucket": pa.array([key[0].as_py()] * len(answers), pa.int32()), "payload": pa.array(answers, pa.binary())})
+
+
+def _score(model: Model, n: int):
     def answer(block: int, payload: bytes, got: dict[int, bytes]) -> pa.Table:
         t = Tokens(payload)
-        count, customers, number, sizes = take(got[-1])[:4]
-        (c,) = take(got[-2])
-        ids, states = _global_ids(number, sizes), [take(got[-10 - s]) for s in range(SWEEPS)]
-        states.append(_state(got, sizes))
+        (c,) = take(got[COUNTS])
+        edges = edges_of(t.words, n)
+        own = take(got[OWN])
+        count, customers = own[0], own[1]
+        tables = np.tile((c > 0).astype(np.int64), (2, 1))
+        passed = [take(got[ASKS + k]) for k in range(n) if ASKS + k in got]
+        if passed:
+            tables[:, c > 1] = np.concatenate([np.stack(x) for x in passed], axis=1)
         p = np.zeros(len(c))
-        known = customers[t.u]
-        for s in range(SWEEPS):
-            tables = model.tables(states[s], t.u, t.w, c, ids, s)
-            by_context, by_word = states[s + 1]
-            back = (model.strength + model.discount * by_context[t.u]) * model.parent(by_word, s + 1)[t.w]
-            p += (np.maximum(c - model.discount * tables, 0) + back) / (model.strength + known) / SWEEPS
+        for k, (context, dish, parent) in enumerate([take(got[BEGAN]), _state(got, np.diff(edges))]):
+            at = SWEEPS - 1 + k
+            strength, d = model.at[at][3], model.discount
+            back = (strength + d * context[t.u]) * model.parent(dish, parent, at)[t.w]
+            p += (np.maximum(c - d * tables[k], 0) + back) / (strength + customers[t.u]) / 2
         rows = len(t.sizes)
         score = np.bincount(t.doc, np.log10(p)[t.pair], minlength=rows)
         base = np.log10((count + 1.0) / (model.tokens + (model.types + 1.0)))
-        base_score = np.bincount(t.doc, base[t.token], minlength=rows)
-        n_known = np.bincount(t.doc, count[t.token] > 0, minlength=rows).astype(np.int64)
         return pa.table(
             {
                 "doc_id": t.doc_id,
                 "held_out": pa.array(t.held),
                 "n_tokens": pa.array(t.sizes.astype(np.int64)),
-                "n_known": pa.array(n_known),
+                "n_known": pa.array(np.bincount(t.doc, count[t.token] > 0, minlength=rows).astype(np.int64)),
                 "train_tokens": pa.array(np.full(rows, model.tokens)),
-                "base_score": pa.array(base_score),
+                "base_score": pa.array(np.bincount(t.doc, base[t.token], minlength=rows)),
                 "score": pa.array(score),
                 "perplexity": pa.array(10 ** np.minimum(-score / t.sizes, 300)),
             }
@@ -373,23 +374,38 @@ def _score(model: Model):
     return answer
 
 
-def _totals(replies: DataFrame, low: int, high: int) -> np.ndarray:
-    """Sums of the bucket totals (four numbers per bucket) of a range of buckets."""
+def _totals(replies: DataFrame, low: int, high: int) -> list[int]:
+    """Sums of the bucket totals (five numbers per bucket) of a range of buckets."""
 
     def run(batches):
-        total = np.zeros(4, np.int64)
+        total = np.zeros(5, np.int64)
         for batch in batches:
             for x in batch.column("payload").to_pylist():
                 total += take(x)[0]
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["sums"])
 
     rows = replies.where(f"block = -1 and bucket >= {low} and bucket < {high}").select("payload").mapInArrow(run, "sums array<long>")
-    got = rows.select(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(4)]).first()
-    return np.array([x or 0 for x in got], np.int64)
+    got = rows.select(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(5)]).first()
+    return [int(x or 0) for x in got]
+
+
+def _likelihoods(swept: DataFrame) -> np.ndarray:
+    """Sums over all blocks of how likely the strengths are."""
+
+    def run(batches):
+        total = np.zeros(len(STRENGTHS))
+        for batch in batches:
+            for x in batch.column("payload").to_pylist():
+                total += np.frombuffer(x, np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    rows = swept.where(f"bucket = {LIKELY}").select("payload").mapInArrow(run, "sums array<double>")
+    got = rows.select(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(len(STRENGTHS))]).first()
+    return np.array([x or 0.0 for x in got])
 
 
 def discount_of(once: int, twice: int) -> float:
-    return float(min(max(once / max(once + 2 * twice, 1), 0.05), 0.95))
+    return float(min(max(once / max(once + 2 * twice, 1), 0.05), 0.9))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -400,32 +416,34 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     n = common.buckets_for(text_bytes(rows), TEXT_PER_BUCKET, spark)
     blocks = packed(rows)
     counted = stored(spread(blocks.mapInArrow(_send(n), THREE), "bucket", 2 * n).groupBy("bucket").applyInArrow(_count, THREE))
-    common.free_shuffles(spark)
     words, pairs = _totals(counted, 0, n), _totals(counted, PAIRS, PAIRS + n)
+    model = Model(words[0], words[1], discount_of(pairs[2], pairs[3]))
     kitchens = stored(reply_to(blocks, counted.where("block >= 0"), _kitchen(n), THREE))
     common.discard(counted)
-    common.free_shuffles(spark)
-    own = kitchens.where("bucket = -1").select("block", "payload")
-
-    def exchanged(sent: DataFrame) -> DataFrame:
-        out = stored(spread(sent.where("bucket >= 0"), "bucket", n).groupBy("bucket").applyInArrow(_sum_tables, THREE))
-        common.free_shuffles(spark)
+    own = kitchens.where(f"bucket = {OWN}").select("block", "payload")
+
+    def added_up(sent: DataFrame, sweep: int, strength: float) -> DataFrame:
+        """The state after a sweep: tables by word, and what the model holds of it."""
+        out = stored(spread(sent.where(f"bucket >= 0 and bucket < {PAIRS}"), "bucket", n).groupBy("bucket").applyInArrow(_sum_tables(model, sweep), THREE))
+        sums = _totals(out, 0, n)
+        if not sweep:
+            model.base_discount = discount_of(sums[2], sums[3])
+        base = model.draw_strength(model.parent_likelihoods(max(sums[0], 1), max(sums[4], 1)), 2 * sweep)
+        model.at.append((sums[0], sums[4], base, strength))
         return out
 
-    state = exchanged(kitchens)
-    sums = _totals(state, 0, n)
-    model = Model(int(words[0]), int(words[1]), discount_of(pairs[2], pairs[3]), discount_of(sums[2], sums[3]))
-    model.totals.append(int(sums[0]))
-    found = reply_to(own, state.where("block >= 0"), _likelihoods(model), "strength double, value double").groupBy("strength").agg(F.sum("value").alias("value")).collect()
-    if found and model.tokens:
-        model.strength = max(found, key=lambda r: (r["value"], -r["strength"]))["strength"]
-    kept = kitchens.where("bucket < 0")
+    state, swept = added_up(kitchens, 0, 8.0), None
     for sweep in range(SWEEPS):
-        swept = stored(reply_to(own, state.where("block >= 0"), _sweep(model, sweep), THREE))
-        common.discard(state)
-        state = exchanged(swept)
-        model.totals.append(int(_totals(state, 0, n)[0]))
-        kept = kept.unionByName(swept.where("bucket < 0"))
-    replies = kept.unionByName(state.where("block >= 0"))
+        replies = state.where("block >= 0")
+        if swept is not None:
+            replies = replies.unionByName(swept.where(f"bucket = {SEATED}"))
+        after = stored(reply_to(own, replies, _sweep(model, sweep), THREE))
+        strength = model.draw_strength(_likelihoods(after), 2 * sweep + 1)
+        common.discard(state, *([swept] if swept is not None else []))
+        state, swept = added_up(after, sweep + 1, strength), after
+    asks = kitchens.where(f"bucket >= {ASKS}").unionByName(swept.where(f"bucket >= {TELLS}"))
+    asks = asks.withColumn("pairs", F.when(F.col("bucket") >= TELLS, F.col("bucket") - TELLS + ASKS).otherwise(F.col("bucket")))
+    passed = stored(spread(asks, "pairs", n).groupBy("pairs").applyInArrow(_pass_on, THREE))
+    replies = kitchens.where(f"bucket in ({OWN}, {COUNTS})").unionByName(swept.where(f"bucket = {BEGAN}")).unionByName(state.where("block >= 0")).unionByName(passed)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return reply_to(blocks, replies, _score(model), schema)
+    return reply_to(blocks, replies, _score(model, n), schema)

@@ -356,12 +356,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     sent = blocks.mapInArrow(_send_minimizers(n, length), three)
     flags = stored(spread(sent, "bucket", n).groupBy("bucket").applyInArrow(_flag_minimizers, "block long, bucket int, payload binary"))
     del sent
-    common.free_shuffles(spark)
     pieces = reply_to(blocks, flags, _pieces_out(n, shards, length), "block long, bucket int, payload binary")
     found = stored(spread(pieces, "bucket", shards).groupBy("bucket").applyInArrow(_shard(length), "block long, bucket int, payload binary"))
     del pieces
     common.discard(flags)
-    common.free_shuffles(spark)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carry]
     schema = ", ".join([*kept, "__n_bytes long, __n_removed long, __n_spans long, __kept_sha256 string", *(["__kept string"] if with_text else [])])
     return reply_to(blocks, found, _cut(carry, with_text), schema)
