@@ -10,15 +10,14 @@ with a smaller id; strings are judged on the input and never cross documents.
    of a few dozen bytes.  Equal pieces of a block go out once, for its smallest id;
    for the block's other documents the answer is known already.  A minimizer decides
    the shard, so equal windows meet in one shard whatever document they are from.
-3. In a shard equal pieces are one string.  A string whose minimizer no other string has
-   shares no window with another; of the rest the shard builds the suffix array by induced
-   sorting, permuted common prefixes of at least ``length`` bytes delimit groups of equal
-   windows, and all but those of a group's smallest document are marked.
+3. A shard builds the suffix array of its pieces by induced sorting; permuted common
+   prefixes of at least ``length`` bytes delimit groups of equal windows, and all but those
+   of a group's smallest document are marked.
 4. The marked byte ranges return to their block, which joins them and cuts the texts.
 
 The hashes only route and preselect (a chance collision adds work, never a removal);
-equality is decided on bytes.  A passage in a third of all documents is one piece per
-block.  Pieces are at most ``MOST_WINDOWS`` windows, so endless runs stay small.
+equality is decided on bytes.  Equal pieces of one block are one before the shuffle, so a
+passage in a third of all documents is one piece per block.  Pieces are at most ``MOST_WINDOWS`` windows, so endless runs stay small.
 
 Defined results: a null text is empty (nothing removed); ids that are equal never
 count as smaller, so repeated rows keep each other; a null id is smaller than any
@@ -44,7 +43,7 @@ MOST_WINDOWS = 200
 #: Text positions handled at once when minimizers are computed.
 CHUNK = 1 << 17
 #: Text bytes per bucket of the minimizer exchange, and per shard of pieces.
-TEXT_PER_BUCKET, TEXT_PER_SHARD = 8 << 20, 3 << 20
+TEXT_PER_BUCKET, TEXT_PER_SHARD = 8 << 20, 2 << 20
 NULL_ID = -(1 << 63)
 #: Ranges that a block knows already pass the shards by, spread over so many groups.
 SETTLED, KNOWN = 1 << 20, 1 << 30
@@ -214,75 +213,43 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.column_stack([start[lead], reach[np.append(lead[1:], len(start)) - 1]]).astype("<i4")
 
 
-def mark(owner: np.ndarray, sizes: np.ndarray, data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of distinct pieces that also start in a smaller id: sorted (piece, offset)."""
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    raw = np.frombuffer(data + b"\0" * (length + 16), np.uint8)
-    piece = np.repeat(np.arange(len(sizes)), sizes - length + 1)
-    first = np.cumsum(sizes - length + 1) - (sizes - length + 1)
-    offset = np.arange(len(piece)) - first[piece]
-    windows = bounds[piece] + offset
-    # symbol 0 ends each piece
-    symbols = np.zeros(int(bounds[-1]) + len(sizes), np.int32)
-    symbols[np.arange(int(bounds[-1])) + np.repeat(np.arange(len(sizes)), sizes)] = raw[: bounds[-1]].astype(np.int32) + 1
-    sa = suffix_array(symbols, windows + piece)
-    back = np.zeros(len(symbols), np.int64)
-    back[windows + piece] = np.arange(len(windows))
-    order = back[sa]  # window numbers in suffix order
-    plcp = permuted_lcp(raw, windows[order], length)
-    group = np.cumsum(plcp[windows[order]] < length) if len(order) else order
-    group -= group[0] if len(order) else 0
-    least = np.full(int(group[-1]) + 1 if len(order) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, owner[piece[order]])
-    hit = np.sort(order[owner[piece[order]] > least[group]])
-    return piece[hit], offset[hit]
-
-
-def mark_shared(owner: np.ndarray, sizes: np.ndarray, pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """``mark`` for the pieces that share their minimizer with another one; no window of the rest is in two."""
-    data = np.frombuffer(b"\0".join(pieces) + b"\0" * 64, np.uint8)
-    row, _, _, least = runs(data, np.concatenate([[0], np.cumsum(sizes + 1)]), length)
-    own = np.zeros(len(pieces), np.uint64)
-    own[row[::-1]] = least[::-1]
-    _, index, times = np.unique(own, return_inverse=True, return_counts=True)
-    at = np.flatnonzero(times[index] > 1)
-    if not len(at):
+def mark(owner: np.ndarray, sizes: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of pieces that also start in a piece of a smaller id: sorted (piece, offset)."""
+    if not len(sizes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    piece, offset = mark(owner[at], sizes[at], b"".join(pieces[k] for k in at.tolist()), length)
-    return at[piece], offset
+    # symbol 0 ends each piece
+    whole = np.cumsum(sizes + 1)
+    begin = whole - sizes - 1
+    piece = np.repeat(np.arange(len(sizes)), sizes + 1)
+    left = whole[piece] - np.arange(whole[-1])  # with the end
+    text = np.zeros(whole[-1], np.uint16)
+    text[left > 1] = data.astype(np.uint16) + 1
+    sa = suffix_array(text, int(sizes.max()) + 1)
+    common_ = permuted_lcp(text, sa, left)
+    # windows are the suffixes with ``length`` bytes before the end; equal ones stand together
+    order = sa[left[sa] > length]
+    group = np.cumsum(common_[order] < length)
+    least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
+    mine = owner[piece[order]]
+    np.minimum.at(least, group, mine)
+    hit = np.sort(order[mine > least[group]])
+    return piece[hit], hit - begin[piece[hit]]
 
 
 def _shard(length: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return table.set_column(table.schema.get_field_index("bucket"), "bucket", pa.array([KNOWN] * table.num_rows, pa.int32())).select(["block", "bucket", "payload"])
-        own, sizes, places, blocks = [], [], [], table["block"].to_pylist()
-        known: dict[bytes, int] = {}
-        number = []  # of each piece among the distinct ones
+        own, sizes, places, texts, blocks = [], [], [], [], table["block"].to_pylist()
         for data in map(unsqueeze, table["payload"].to_pylist()):
             n, m = np.frombuffer(data, "<i8", 2)
             at = 16 + 8 * n
             own.append(np.frombuffer(data, "<i8", n, 16))
             sizes.append(np.frombuffer(data, "<i4", n, at).astype(np.int64))
             places.append(np.frombuffer(data, "<i4", n + 2 * m, at + 4 * n).astype(np.int64))
-            ends = (at + 8 * n + 8 * m + np.cumsum(sizes[-1])).tolist()
-            number += [known.setdefault(data[e - k : e], len(known)) for e, k in zip(ends, sizes[-1].tolist(), strict=True)]
-        number, owner = np.array(number, np.int64), np.concatenate(own)
-        least = np.full(len(known), np.iinfo(np.int64).max)
-        np.minimum.at(least, number, owner)
-        size = np.zeros(len(known), np.int64)
-        size[number] = np.concatenate(sizes)
-        first = mark_shared(least, size, list(known), length)
-        known.clear()
-        # a piece has the marks of its string, or all windows if a smaller id has the string
-        later = owner > least[number]
-        begin, windows = np.searchsorted(first[0], np.arange(len(size) + 1)), size - length + 1
-        each = np.where(later, windows[number], (begin[1:] - begin[:-1])[number])
-        piece = np.repeat(np.arange(len(number)), each)
-        step = np.arange(len(piece)) - np.repeat(np.cumsum(each) - each, each)
-        offset = np.where(later[piece], step, 0)
-        kept = ~later[piece]
-        offset[kept] = first[1][(begin[number[piece]] + step)[kept]]
+            texts.append(np.frombuffer(data, np.uint8, -1, at + 8 * n + 8 * m))
+        piece, offset = mark(np.concatenate(own), np.concatenate(sizes), np.concatenate(texts), length)
+        del texts
         base = np.cumsum([0, *map(len, own)])
         cuts = np.searchsorted(piece, base)
         out_block, out = [], []

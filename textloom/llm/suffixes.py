@@ -1,94 +1,150 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, on numpy arrays.
-
-The steps are the classical ones - classify suffixes as L or S, sort and name the
-leftmost-S (LMS) substrings, recurse on the names when they repeat, induce the order
-of the other suffixes from the order of the LMS suffixes - but each is carried out on
-whole arrays: a suffix is determined by its (character, type) symbols up to the next
-LMS position and the rank of that position, so inducing is a refinement of groups by
-packed symbols that ends after a few rounds.
+"""Suffix arrays by induced sorting, and permuted common prefixes, on whole arrays.
+
+The steps are the classical ones: suffixes are classified as L or S, leftmost-S (LMS)
+substrings are sorted by a first induction and named, the string of their names is sorted,
+and a second induction from the sorted LMS suffixes gives all others.
+
+An induction goes through the buckets of the first symbol, L suffixes upwards and S
+suffixes downwards; each sorted suffix puts the one before it in the text at the head or
+the tail of its bucket.  A bucket is one step on whole arrays: all it holds is sorted when
+its turn comes, but for runs of its own symbol, which follow in rounds.
+
+The string of names is not induced again: its alphabet is too large for buckets as arrays,
+and item by item the recursion costs ten times the rest.  Its suffixes are told apart by
+doubling, as far as the longest piece of the text reaches, which bounds the rounds.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-
 def classify(text: np.ndarray) -> np.ndarray:
-    """True for S-type suffixes; a virtual smallest character follows the end."""
+    """True for S-type suffixes; a virtual smallest symbol follows the end."""
     n = len(text)
-    step = np.full(n, -1, np.int8)
-    step[:-1] = np.sign(np.diff(text.astype(np.int64))).astype(np.int8)
-    at = np.where(step != 0, np.arange(n), n)
+    rises, falls = text[:-1] < text[1:], text[:-1] > text[1:]
+    decided = np.append(rises | falls, True)
+    at = np.where(decided, np.arange(n), n)
     following = np.minimum.accumulate(at[::-1])[::-1]
-    return step[following] > 0
+    return np.append(rises, False)[following]
 
 
-def _refine(symbols: np.ndarray, bits: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Dense ranks of the symbol strings ``symbols[start : start + length]``.
+def _deal(found: np.ndarray, symbols: np.ndarray, into: list[list[np.ndarray]]) -> None:
+    """Append positions to the buckets of their symbols, in order."""
+    if not len(found):
+        return
+    order = np.argsort(symbols, kind="stable")
+    found, counts = found[order], np.bincount(symbols)
+    ends = np.cumsum(counts)
+    for c in np.flatnonzero(counts).tolist():
+        into[c].append(found[ends[c] - counts[c] : ends[c]])
 
-    No string is a proper prefix of another, so a group of ties ends together.
+
+def _by_bucket(text: np.ndarray, kinds: int, lms: list[np.ndarray]) -> np.ndarray:
+    """All suffixes in order, given the LMS suffixes of each bucket in order."""
+    n = len(text)
+    larger: list[list[np.ndarray]] = [[] for _ in range(kinds)]
+    larger[int(text[-1])].append(np.array([n - 1]))  # before the virtual end
+    lower = []
+    for c in range(kinds):
+        mine, now = [], np.concatenate(larger[c]) if larger[c] else np.zeros(0, np.int64)
+        while len(now):
+            mine.append(now)
+            before = now[now > 0] - 1
+            symbol = text[before]
+            up = symbol > c
+            _deal(before[up], symbol[up], larger)
+            now = before[symbol == c]
+        lower.append(np.concatenate(mine) if mine else np.zeros(0, np.int64))
+        larger[c] = []
+        if len(lms[c]):
+            before = lms[c] - 1  # an LMS suffix always has one before it, of type L
+            _deal(before, text[before], larger)
+    smaller: list[list[np.ndarray]] = [[] for _ in range(kinds)]
+    out = []
+    for c in range(kinds - 1, -1, -1):
+        mine, now = [], np.concatenate(smaller[c]) if smaller[c] else np.zeros(0, np.int64)
+        while len(now):  # the largest first
+            mine.append(now)
+            before = now[now > 0] - 1
+            symbol = text[before]
+            down = symbol < c
+            _deal(before[down], symbol[down], smaller)
+            now = before[symbol == c]
+        smaller[c] = []
+        now = lower[c][::-1]
+        before = now[now > 0] - 1
+        symbol = text[before]
+        down = symbol < c
+        _deal(before[down], symbol[down], smaller)
+        out += [*mine, now]
+    return np.concatenate(out)[::-1]
+
+
+def _induce(text: np.ndarray, kinds: int, lms: np.ndarray) -> np.ndarray:
+    parts: list[list[np.ndarray]] = [[] for _ in range(kinds)]
+    _deal(lms, text[lms], parts)
+    return _by_bucket(text, kinds, [p[0] if p else np.zeros(0, np.int64) for p in parts])
+
+
+def _names(text: np.ndarray, ordered: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Names of the LMS substrings in their order: equal ones, which stand together, share a name.
+
+    ``stop`` is the last place of each; the one that ends with the text is like no other.
     """
-    per_word = max(1, 62 // bits)
-    rank = np.zeros(len(starts), np.int64)
-    active = np.arange(len(starts))
-    depth = 0
-    while len(active):
-        word = np.zeros(len(active), np.int64)
-        at, left = starts[active] + depth, lengths[active] - depth
-        for j in range(per_word):
-            word <<= bits
-            inside = left > j
-            word[inside] |= symbols[at[inside] + j]
-        if depth == 0:
-            order = np.argsort(word)
-            word = word[order]
-            fresh = np.concatenate([[True], word[1:] != word[:-1]])
-            rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        else:
-            group = rank[active]
-            order = np.lexsort((word, group))
-            word, group = word[order], group[order]
-            new_group = np.concatenate([[True], group[1:] != group[:-1]])
-            fresh = new_group | np.concatenate([[True], word[1:] != word[:-1]])
-            position = np.arange(len(order))
-            base = np.maximum.accumulate(np.where(new_group, position, 0))
-            lead = np.maximum.accumulate(np.where(fresh, position, 0))
-            rank[active[order]] = group + (lead - base)
-        depth += per_word
-        tied = np.bincount(rank[active], minlength=len(starts))[rank[active]] > 1
-        active = active[tied & (lengths[active] > depth)]
-    return rank
-
-
-def _ranks(text: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, order) : ``positions[order]`` are the wanted suffixes, sorted."""
+    length = stop - ordered
+    same = (length[1:] == length[:-1]) & (stop[1:] < len(text)) & (stop[:-1] < len(text))
+    at, depth = np.flatnonzero(same), 0
+    while len(at):
+        differ = text[ordered[at] + depth] != text[ordered[at + 1] + depth]
+        same[at[differ]] = False
+        depth += 1
+        at = at[~differ & (length[at] >= depth)]
+    return np.append(0, np.cumsum(~same))
+
+
+def _ordered(name: np.ndarray, reach: int) -> np.ndarray:
+    """The suffixes of a string of names in order, as far as ``reach`` names tell them apart.
+
+    Ranks by 1, 2, 4, ... names; each round takes up only those that are still tied.
+    """
+    n = len(name)
+    sizes = np.bincount(name)
+    rank = np.append((np.cumsum(sizes) - sizes)[name] + 1, 0)  # one more than the suffixes below the group
+    open_, known = np.flatnonzero(sizes[name] > 1), 1
+    while len(open_) and known < reach:
+        key = rank[open_] * (n + 2) + rank[np.minimum(open_ + known, n)]
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], np.arange(len(order))
+        group = key // (n + 2)
+        base = np.maximum.accumulate(np.where(np.append(True, group[1:] != group[:-1]), place, 0))
+        fresh = np.append(True, key[1:] != key[:-1])
+        lead = np.maximum.accumulate(np.where(fresh, place, 0))
+        rank[open_[order]] = group + lead - base
+        size = np.bincount(np.cumsum(fresh) - 1)
+        open_, known = np.sort(open_[order][np.repeat(size, size) > 1]), 2 * known
+    return np.argsort(rank[:-1], kind="stable")
+
+
+def suffix_array(text: np.ndarray, reach: int | None = None) -> np.ndarray:
+    """Suffixes of an array of numbers from 0 to 1023 in order, by ``reach`` symbols at least (all)."""
+    text = np.asarray(text).astype(np.uint16)
     n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
+    kinds = int(text.max()) + 1
     s_type = classify(text)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    ends = np.append(lms, n)
-    symbols = np.append(2 * text.astype(np.int64) + s_type + 1, 0)
-    bits = int(symbols.max()).bit_length()
-    rank_of = np.zeros(len(ends), np.int64)  # of the suffix at each LMS position; the end is smallest
-    if len(lms):
-        names = _refine(symbols, bits, lms, ends[1:] - lms + 1)
-        distinct, dense = np.unique(names, return_inverse=True)
-        if len(distinct) < len(lms):
-            dense = np.empty(len(lms), np.int64)
-            positions, order = _ranks(np.searchsorted(distinct, names), None)
-            dense[positions[order]] = np.arange(len(lms))
-        rank_of[:-1] = dense + 1
-    items = np.arange(n) if wanted is None else wanted
-    after = np.searchsorted(ends, items, side="right")
-    group = _refine(symbols, bits, items, ends[after] - items + 1)
-    return items, np.lexsort((rank_of[after], group))
-
-
-def suffix_array(text: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
-    """Suffixes of a non-negative integer array in order; only the ``wanted`` starts if given."""
-    if not len(text):
-        return np.zeros(0, np.int64)
-    items, order = _ranks(np.asarray(text), wanted)
-    return items[order]
+    if len(lms) > 1:
+        is_lms = np.zeros(n, bool)
+        is_lms[lms] = True
+        order = _induce(text, kinds, lms)
+        order = order[is_lms[order]]
+        following = np.zeros(n, np.int64)
+        following[lms] = np.append(lms[1:], n)
+        name = np.zeros(n, np.int64)
+        name[order] = _names(text, order, following[order])
+        lms = lms[_ordered(name[lms], n if reach is None else reach)]
+    return _induce(text, kinds, lms)
 
 
 def loads(data: np.ndarray) -> np.ndarray:
@@ -96,21 +152,34 @@ def loads(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
 
 
-def permuted_lcp(data: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
-    """In text order: the common prefix, up to ``cap`` bytes, of sa[k] and its predecessor sa[k - 1].
+def permuted_lcp(text: np.ndarray, sa: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """In text order: the common prefix of each suffix and the one before it in the array, up to ``left``.
 
-    ``data`` must have at least ``cap`` + 8 bytes after every suffix start.
+    ``left`` is how many symbols of a suffix count: it falls by one from place to place within a
+    piece.  Where the symbols before the two suffixes agree (in one piece), the prefix is that of
+    the place before less one; only the others are compared, four symbols at a time.
     """
-    plcp = np.zeros(len(data), np.int16)
-    if len(sa) < 2:
-        return plcp
-    words, this, before = loads(data), sa[1:], sa[:-1]
-    open_ = np.arange(len(this))
-    for at in range(0, cap, 8):
-        x = words[this[open_] + at] ^ words[before[open_] + at]
-        differ = x != 0
+    n = len(text)
+    out = np.zeros(n, np.int64)
+    if n < 2:
+        return out
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    place = np.arange(n)
+    follows = np.zeros(n, bool)
+    follows[1:] = (before[1:] > 0) & (left[1:] == left[:-1] - 1)
+    at = np.flatnonzero(follows)
+    follows[at] = text[at - 1] == text[before[at] - 1]
+    wide = np.concatenate([text.astype("<u2"), np.full(8, 0xFFFF, "<u2")])
+    words = np.ndarray((len(wide) - 3,), "<u8", wide, 0, (2,))
+    this = np.flatnonzero(~follows & (before >= 0) & (left > 0))
+    other, depth = before[this], 0
+    while len(this):
+        x = words[np.minimum(this + depth, n)] ^ words[np.minimum(other + depth, n + 1)]
+        differ = (x != 0) | (depth + 4 >= left[this])
         low = x[differ] & (~x[differ] + np.uint64(1))
-        plcp[this[open_[differ]]] = np.minimum(at + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3), cap)
-        open_ = open_[~differ]
-    plcp[this[open_]] = cap
-    return plcp
+        equal = np.where(x[differ] == 0, 4, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) >> 4)
+        out[this[differ]] = np.minimum(depth + equal, left[this[differ]])
+        this, other, depth = this[~differ], other[~differ], depth + 4
+    first = np.maximum.accumulate(np.where(follows, 0, place))
+    return np.maximum(out[first] - (place - first), 0)
