@@ -6,18 +6,19 @@ linked; a component is what links reach.
 1. One hash per shingle: the least in each of ``BINS`` bins is the signature, and an
    empty bin borrows from the bins of a fixed random order of its own (optimal
    densification).  Equal sets are one node from here on: copies never meet.
-2. ``BANDS`` bands of ``ROWS`` values make buckets.  A bucket is a star: its members
-   are compared with its smallest id, so candidates grow with members, not pairs.
+2. Bands of a few values make buckets, as many as ``bands_for`` the limit.  A bucket is a
+   star: its members are compared with its smallest id, so candidates grow with members,
+   not pairs.
 3. Candidates are confirmed on the full shingle sets; confirmed links give components.
 4. A bucket that still holds several components is gone through once more: members
    outside its largest component are compared with all its members on full sets, in
    cells of bounded size.  So the star shape loses no link that a bucket holds; at the
-   limit itself all bands miss a pair with probability (1 - 0.85^5)^25 < 1e-6.
+   limit itself all bands miss a pair with a probability below MISSED.
 
 Defined results: words are lower-cased (A-Z) runs of non-blanks; fewer words than a
 shingle make one shingle; null, empty and blank texts have no shingles and no links;
 a null id is its own document (component null, kept); rows that repeat an id are one
-document; an empty table gives an empty result; only id and text are read.
+document, linked by any of its texts; ids are cast to long; an empty table gives an empty result; only id and text are read.
 """
 
 from __future__ import annotations
@@ -28,18 +29,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import common
-from textloom.llm.common import _pieces, coded, docs_view, mix, stored, words_of
+from textloom.llm.common import _pieces, coded, docs_view, join_groups, mix, stored, words_of
 
-BINS, BANDS, ROWS = 128, 25, 5
+BINS = 128
+#: Chance that a pair at the limit shares no bucket, at most.
+MISSED = 1e-6
 #: Shingles on either side of one cell of the second round.
 CELL = 1_500_000
 #: Up to so many ids (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
-SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+#: Odd multipliers, one for each place in a shingle or a band.
+SEEDS = mix(np.arange(1, BINS + 2, dtype=np.uint64)) | np.uint64(1)
+
+
+def bands_for(percent: int) -> tuple[int, int]:
+    """(bands, values to a band): the longest bands that miss a pair at the limit with a chance below MISSED."""
+    for rows in range(BINS, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (BINS // rows) <= MISSED:
+            return BINS // rows, rows
+    raise ValueError(f"{BINS} values cannot find pairs at {percent} percent")
 
 
 def shingles(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text, sorted by (row, hash): (row, hash)."""
+    if not 1 <= words <= BINS:
+        raise ValueError(f"a shingle has 1 to {BINS} words")
     flat, rows = words_of(text)
     codes, distinct = coded(flat)
     h = mix(distinct + np.uint64(1))[codes] if len(codes) else np.zeros(0, np.uint64)
@@ -97,7 +111,9 @@ def signatures(row: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
     return sig.reshape(n, BINS)
 
 
-def _sign(words: int):
+def _sign(words: int, percent: int):
+    n_bands, n_rows = bands_for(percent)
+
     def run(batches):
         for batch in batches:
             for piece in _pieces(batch, "text", 2 << 20):
@@ -108,17 +124,17 @@ def _sign(words: int):
                 total = np.concatenate([[0], np.cumsum(mix(key + SEEDS[0]))]).astype(np.uint64)
                 total2 = np.concatenate([[0], np.cumsum(mix(key ^ SEEDS[1]))]).astype(np.uint64)
                 sig = signatures(row, key, n)
-                bands = np.zeros((n, BANDS), np.uint64)
-                for j in range(ROWS):
-                    bands += sig[:, j : BANDS * ROWS : ROWS] * SEEDS[j]
-                bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * SEEDS[6]).view(np.int64)
+                bands = np.zeros((n, n_bands), np.uint64)
+                for j in range(n_rows):
+                    bands += sig[:, j : n_bands * n_rows : n_rows] * SEEDS[j]
+                bands = mix(bands + np.arange(n_bands, dtype=np.uint64) * SEEDS[n_rows]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("doc_id"),
                         pa.array(size),
                         pa.array((total[edges[1:]] - total[edges[:-1]]).view(np.int64)),
                         pa.array((total2[edges[1:]] - total2[edges[:-1]]).view(np.int64)),
-                        pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), BANDS).cast(pa.list_(pa.int64())),
+                        pa.FixedSizeListArray.from_arrays(pa.array(bands.ravel()), n_bands).cast(pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
                 )
@@ -126,9 +142,9 @@ def _sign(words: int):
     return run
 
 
-def signed(docs: DataFrame, words: int) -> DataFrame:
+def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands) of every document."""
-    return docs_view(docs).mapInArrow(_sign(words), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs_view(docs).mapInArrow(_sign(words, percent), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def small(ids: DataFrame) -> DataFrame:
@@ -175,7 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
     map-side combining and stored, so a star of any size is no single task.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(64):
+    while True:  # each round at least halves what hangs below a root
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -207,7 +223,7 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = stored(members.join(roots, by).select("root", "doc_id", "component").distinct().join(sets, "doc_id"))
     size = F.octet_length("members") / 8
     stats = rows.groupBy("root").agg(F.ceil(F.sum(size) / CELL).cast("int").alias("k"), F.ceil(F.sum(F.when(F.col("component") != F.col("root"), size).otherwise(0)) / CELL).cast("int").alias("q"))
-    rows = rows.join(stats, "root").withColumn("h", F.xxhash64("doc_id"))
+    rows = rows.join(small(stored(stats)), "root").withColumn("h", F.xxhash64("doc_id"))
     asked = rows.withColumn("j", F.pmod("h", "k").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("q") - 1))).withColumn("asks", F.lit(False))
     askers = rows.where("component <> root").withColumn("i", F.pmod("h", "q").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("asks", F.lit(True))
     cols = ["root", "i", "j", "asks", "doc_id", "component", "members"]
@@ -233,20 +249,23 @@ def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             b.append(np.maximum(ids[to[near]], ids[one]))
         return pa.table({"a": pa.array(np.concatenate([np.zeros(0, np.int64), *a])), "b": pa.array(np.concatenate([np.zeros(0, np.int64), *b]))})
 
-    return asked.select(*cols).unionByName(askers.select(*cols)).groupBy("root", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    # dealt by cell: a partitioning by root alone would do for the grouping, but put a root into one task
+    cells = asked.select(*cols).unionByName(askers.select(*cols)).repartition("root", "i", "j")
+    return cells.groupBy("root", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(signed(docs, words))
+    rows = stored(signed(docs, words, percent))
     with_set = rows.where("doc_id is not null and n_shingles > 0")
     key = ["n_shingles", "set_a", "set_b"]
-    nodes = with_set.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("__n"))
+    nodes = stored(with_set.groupBy(*key).agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("__n")))
     # copies hang on their node: links between equal sets, as a star
-    copies = with_set.join(nodes.where("__n > 1"), key).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    heads = with_set.join(nodes.select(*key, F.col("node").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    copies = join_groups(with_set.select(*key, "doc_id"), nodes.where("__n > 1"), key, "__n", rows.count(), "inner")
+    copies = stored(copies.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct())
+    heads = with_set.join(nodes.select(*key, F.col("node").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id", *key])
     heads = stored(heads.select("doc_id", "bands"))
     band = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = band.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -260,7 +279,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("band", "key")
     more = stored(across(placed.join(mixed, ["band", "key"], "left_semi"), sets, percent))
     found = stored(components(links.unionByName(more).unionByName(copies)))
-    common.discard(heads, buckets, stars, ids, sets, links, more)
+    common.discard(nodes, copies, heads, buckets, stars, ids, sets, links, more)
     out = rows.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     own = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
