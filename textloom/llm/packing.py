@@ -1,12 +1,12 @@
 """Packing token sequences into fixed windows by best-fit decreasing.
 
 A document is tokenised whole and closed by an end id; what is longer than a
-window is first cut into full windows, and only the remainder is packed.  The
-remainders are dealt over cells of bounded size; in a cell a segment tree indexed
-by remaining capacity finds the tightest open window for each piece, longest
-first, in O(log window).  A cell wastes at most part of its last windows, so the
-padding per token does not grow with the corpus, and no task sees more than one
-cell at a time.
+window is first cut into full windows, which are sequences of their own, and only the
+remainder is packed.  The remainders, one to a document at most, are dealt over cells
+of bounded size; in a cell a segment tree indexed by remaining capacity finds the
+tightest open window for each piece, longest first, in O(log window).  A cell wastes at
+most part of its last windows, so the padding per token does not grow with the corpus,
+and no task sees more than one cell at a time.
 
 Defined results: a null or empty text is one piece (its end id); repeated rows are
 packed one by one; ties in length go by (doc_id, start); an empty table gives an
@@ -25,11 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import _pieces, docs_view, tidy, words_of
+from textloom.llm.common import _pieces, docs_view, stored, tidy, words_of
 
 WINDOW, END_ID = 2048, 1
-#: Documents dealt to one packing cell (about 5 MB of piece rows).
-CELL_DOCS = 50_000
+#: Remainders dealt to one packing cell (about 5 MB of piece rows).
+CELL_PIECES = 50_000
+#: Sequence ids of full windows start here; below it stand cell and window number.
+FULL = 1 << 62
 #: Distinct words a worker remembers the ids of.
 REMEMBERED = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -42,10 +44,12 @@ class WordTokenizer:
     distinct word is encoded once and remembered.  A word of Latin letters, with or
     without one mark after it, is the ids of its lower-case letters and of the mark.
     Words are encoded in joined groups with a digit between them, which the tokenizer
-    always makes an id of its own.
+    always makes an id of its own.  Whether a vocabulary is of this kind is tried out on
+    PROBES when it is loaded; texts of any other one are encoded whole.
     """
 
     MARKS, JOIN, GROUP = ".,!?;:", "0", 256
+    PROBES = ("Word word, WORD! a.b c0d 00 10,000", "l'été don't I'm ÀÉ.", "  x\ty\n\nz  0 ", "ΣΑΣ. ß ẞ é", "日本語。 ½ Ⅷ", "::: . ; <a> #b", "über-All 3.14 e.g., x=1", "aB?! Cd;: (e)")
 
     def __init__(self, spec: str) -> None:
         # a task has one core; threads would only add memory
@@ -53,9 +57,22 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_str(spec)
-        self.inner.encode_special_tokens = True
-        (self.mark,) = self.inner.encode(self.JOIN, add_special_tokens=False).ids
+        self.inner.encode_special_tokens = True  # their strings in a text are ordinary text
+        mark = self.inner.encode(self.JOIN, add_special_tokens=False).ids
+        self.mark, self.by_word = mark[0] if mark else -1, len(mark) == 1
         self._forget()
+        if self.by_word:
+            try:
+                ids, counts = self(pa.array(self.PROBES))
+                whole = self._whole(pa.array(self.PROBES))
+                self.by_word = counts.tolist() == whole[1].tolist() and ids.tolist() == whole[0].tolist()
+            except (ValueError, IndexError):  # marks were lost among the ids
+                self.by_word = False
+            self._forget()
+
+    def _whole(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.inner.encode_batch(pc.fill_null(text, "").to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *[np.array(x, np.uint32) for x in got]]), np.fromiter(map(len, got), np.int64, len(got))
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -94,6 +111,8 @@ class WordTokenizer:
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat uint32 ids of all texts, and the number of ids of each."""
+        if not self.by_word:
+            return self._whole(text)
         flat, rows = words_of(text, lower=False)
         if not len(flat):
             return np.zeros(0, np.uint32), np.zeros(len(text), np.int64)
@@ -198,7 +217,7 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
 
 
 def pack_pieces(pieces: DataFrame, cells: int, window: int = WINDOW) -> DataFrame:
-    """Best-fit decreasing within each of ``cells`` cells; full windows are sequences of their own."""
+    """Best-fit decreasing within each of ``cells`` cells."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         order = pc.sort_indices(table, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -207,7 +226,8 @@ def pack_pieces(pieces: DataFrame, cells: int, window: int = WINDOW) -> DataFram
         base = key[0].as_py() << 32
         return table.drop_columns(["cell"]).append_column("sequence_id", pa.array([base + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(cells)).cast("long"))
+    # by the place of the row as well: rows that repeat go to many cells
+    dealt = pieces.withColumn("cell", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start", F.monotonically_increasing_id()), F.lit(cells)).cast("long"))
     return dealt.groupBy("cell").applyInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
@@ -218,5 +238,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    cells = max(1, math.ceil(docs.count() / CELL_DOCS))
-    return pack_pieces(cut(docs, spec, window, end_id), cells, window)
+    pieces = stored(cut(docs, spec, window, end_id))
+    full, rest = pieces.where(F.col("length") == window), pieces.where(F.col("length") < window)
+    cells = max(1, math.ceil(rest.count() / CELL_PIECES))
+    full = full.withColumn("sequence_id", F.lit(FULL) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return full.unionByName(pack_pieces(rest, cells, window))
