@@ -21,12 +21,12 @@ import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import _pieces, docs_view, hash_strings, mix, spread
+from textloom.llm.common import _pieces, discard, docs_view, hash_strings, mix, spread, stored
 from textloom.llm.suffixes import loads
 
 SPAN, NEIGHBOURS, POPULAR = 16, 32, 10
@@ -35,8 +35,8 @@ SHORT, TINY = 64, 4
 BITS, HASHES, CAPACITY = 2048, 5, 160
 #: Overlaps below this share are taken for chance.
 NOISE = 0.1
-#: Cells of the id histogram that deals rows into ranges of ids.
-CELLS = 4096
+#: Parts that a crowded cell of the id histogram is cut into, and bytes of text that a range of ids holds at most.
+SPLIT, MOST_BYTES = 64, 256 << 20
 PIECE = 2 << 20
 _SCALE = 1 << 20
 _F = np.round(np.arange(SPAN + 2) * np.log2(np.maximum(np.arange(SPAN + 2), 1)) * _SCALE).astype(np.int64)
@@ -177,34 +177,80 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(min(1.0, ((na * best_a).sum() + (nb * best_b).sum()) / (na.sum() + nb.sum())))
 
 
+def ranges(rows: DataFrame, wanted: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first id, bytes) of the cells of an id histogram, none over its share unless it is one id.
+
+    ``rows``: okey, n_bytes.  Cells that hold too much are cut into SPLIT equal parts until none
+    does; so many cells are needed as there are shares of all bytes.
+    """
+    low, high, total = rows.agg(F.min("okey"), F.max("okey"), F.sum("n_bytes")).first()
+    if total is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    share, narrow = max(1, min(total // wanted, most)), rows
+    # a cell is its first and last id; null ids (the least number) stand apart
+    cells, size = [(low, low), (low + 1, high)] if low == NULL_ID else [(low, high)], {}
+    while cells:
+        found = rows.withColumn("cell", cell_of(np.array([c[0] for c in cells], np.int64))(F.col("okey"))).groupBy("cell").agg(F.sum("n_bytes").alias("n"), F.min("okey").alias("first"), F.max("okey").alias("last")).collect()
+        cells = []
+        for r in sorted(found, key=lambda r: r["cell"]):
+            a, b = r["first"], r["last"]
+            if r["n"] <= share or a == b:
+                size[a] = r["n"]
+                continue
+            width = -(-(b - a + 1) // SPLIT)
+            cells += [(x, min(x + width - 1, b)) for x in range(a, b + 1, width)]
+        if cells:  # only what lies in the open cells is counted again
+            rows = narrow.where(within(np.array([c[0] for c in cells], np.int64), np.array([c[1] for c in cells], np.int64))(F.col("okey")))
+    firsts = np.array(sorted(size), np.int64)
+    return firsts, np.array([size[x] for x in firsts.tolist()], np.int64)
+
+
+def cell_of(starts: np.ndarray):
+    """Number of the last of ``starts`` that is not above an id."""
+
+    @F.pandas_udf("long")
+    def number(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, ids.to_numpy(np.int64), side="right") - 1)
+
+    return number
+
+
+def within(starts: np.ndarray, stops: np.ndarray):
+    """Whether an id lies in one of the cells."""
+
+    @F.pandas_udf("boolean")
+    def inside(ids: pd.Series) -> pd.Series:
+        ids = ids.to_numpy(np.int64)
+        at = np.searchsorted(starts, ids, side="right") - 1
+        return pd.Series((at >= 0) & (ids <= stops[np.maximum(at, 0)]))
+
+    return inside
+
+
 def in_id_order(docs: DataFrame) -> DataFrame:
     """(bucket, extra, okey, doc_id, text): ranges of ids, each followed by the next row.
 
     A partition holds whole buckets sorted by id; rows with ``extra`` = 1 are copies of the
-    first row(s) of the following bucket (of the first one, after the last).
+    first row(s) of the following bucket (of the first one, after the last).  Buckets hold
+    about equal bytes, MOST_BYTES at most unless one id alone has more.
     """
+    spark = docs.sparkSession
     rows = docs_view(docs).withColumn("okey", F.coalesce("doc_id", F.lit(NULL_ID)))
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    cell = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(float(high) - float(low) + 1.0) * F.lit(float(CELLS))).cast("int"))
-    cell = F.least(cell, F.lit(CELLS - 1))
-    counts = {r["cell"]: r for r in rows.select(cell.alias("cell"), "okey").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("okey").alias("first")).collect()}
-    wanted = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = max(1, sum(r["n"] for r in counts.values()) // wanted)
-    bucket_of, firsts, held, number = [0] * CELLS, {}, 0, -1
-    for c in range(CELLS):
-        if c in counts:
-            if number < 0 or held >= share:
-                number, held = number + 1, 0
-                firsts[number] = counts[c]["first"]
-            held += counts[c]["n"]
-        bucket_of[c] = max(number, 0)
-    rows = rows.withColumn("bucket", F.element_at(F.lit(bucket_of), cell + 1).cast("int"))
-    ahead = {first: (b - 1) % max(1, len(firsts)) for b, first in firsts.items()}
-    target = F.create_map(*[F.lit(x) for kv in ahead.items() for x in kv]) if ahead else F.create_map(F.lit(0), F.lit(0))
-    keys = [k for k in ahead if k != NULL_ID]
-    first_rows = rows.where(F.col("doc_id").isin(keys) | (F.col("doc_id").isNull() if NULL_ID in ahead else F.lit(False)))
-    extra = first_rows.withColumn("bucket", F.element_at(target, F.col("okey")).cast("int"))
+    wanted = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    narrow = stored(rows.select("okey", (F.octet_length("text") + 64).cast("long").alias("n_bytes")))
+    firsts, size = ranges(narrow, 4 * wanted, MOST_BYTES)
+    discard(narrow)
+    share = max(1, min(int(size.sum()) // wanted, MOST_BYTES))
+    starts, held = [], 0
+    for first, n in zip(firsts.tolist(), size.tolist(), strict=True):
+        if not starts or held + n // 2 >= share:
+            starts.append(first)
+            held = 0
+        held += n
+    rows = rows.withColumn("bucket", cell_of(np.array(starts or [0], np.int64))(F.col("okey")).cast("int"))
+    # the first id of each bucket goes to the bucket before it as well: one row for each MOST_BYTES of text
+    ahead = F.broadcast(spark.createDataFrame(pa.table({"okey": pa.array(starts, pa.int64()), "to": pa.array([(b - 1) % len(starts) for b in range(len(starts))], pa.int32())})))
+    extra = rows.join(ahead, "okey").withColumn("bucket", F.col("to")).drop("to")
     both = rows.withColumn("extra", F.lit(0)).unionByName(extra.withColumn("extra", F.lit(1)))
     return spread(both, "bucket", wanted).sortWithinPartitions("bucket", "extra", "okey", "text")
 
