@@ -11,7 +11,9 @@ are part of the template, not of a slot, and go class by class, the widest first
 long as the page keeps other text.
 
 Before any vector, elements that are navigation, adverts, forms, comments and the like
-by tag, role or name are cut out (``_skipped``).  The order of a class's tokens on the
+by tag, role or name are cut out (``_skipped``).  A name counts if all its parts are known
+words (ad-box, not share-price), and names are not believed on a page that they would
+leave without any text.  The order of a class's tokens on the
 page is not checked; their paths stand for it.
 
 Vectors are never built: a vector's fingerprint is the sum over pages of a hash of
@@ -51,11 +53,17 @@ VOID = frozenset("hr input img br meta link area base col embed source track wbr
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|xmp)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][-\w:]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>|([^<]+|<)""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""([-\w:]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME = re.compile(r"[a-z]+")
+#: Words that say nothing in a name beside one of the above.
+NEUTRAL_NAMES = frozenset(
+    "area article articles bar block bottom box button buttons container entry global group holder inner item items left link links list main outer page panel post posts primary right row secondary section site strip top unit wrap wrapper".split()
+)
 #: A slot holds at least this share of a page's text.
 SLOT_SHARE = 0.9
 #: A class is template from this share of the host's pages on; shares of text are in parts of WHOLE.
 SUPPORT, WHOLE = 0.8, 1_000_000
-MOST_BROADCAST_HOSTS, HOST_PARTS = 5_000, 64
+HOST_PARTS = 64
+#: Templates are broadcast up to so many bytes; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def host_of(url: str | None) -> str:
@@ -69,17 +77,23 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {}
 
 
-def _skipped(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _skipped(tag: str, attributes: dict[str, str], in_article: bool) -> int:
+    """0, or 1 if its tag, role or style says that an element is no running text, or 2 if only its name does."""
     if tag in SKIPPED or (tag == "header" and not in_article):
-        return True
+        return 1
     if not attributes:
-        return False
+        return 0
     if attributes.get("role", "").lower() in SKIPPED_ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
+        return 1
     if "none" in attributes.get("style", "") and re.search(r"display\s*:\s*none", attributes["style"]):
-        return True
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return tag not in ("body", "html", "article", "main") and not SKIPPED_NAMES.isdisjoint(NAME.findall(named))
+        return 1
+    if tag in ("body", "html", "article", "main"):
+        return 0
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        parts = set(NAME.findall(name))
+        if not SKIPPED_NAMES.isdisjoint(parts) and parts <= SKIPPED_NAMES | NEUTRAL_NAMES:
+            return 2
+    return 0
 
 
 def _inline(tag: str) -> bool:
@@ -87,7 +101,12 @@ def _inline(tag: str) -> bool:
 
 
 def parse(page: str) -> list[tuple[tuple[tuple[int, str], ...], str]]:
-    """Elements and running text of a page.
+    """Elements and running text of a page; if nothing is left, names are not believed."""
+    return _parse(page, 2) or _parse(page, 1)
+
+
+def _parse(page: str, most: int) -> list[tuple[tuple[tuple[int, str], ...], str]]:
+    """Elements and running text of a page, without elements skipped for reasons up to ``most``.
 
     Returns (open elements, text) for each block's text outside skipped elements; open
     elements are (number, path) pairs, outermost first.  A skipped element inside a line
@@ -99,6 +118,9 @@ def parse(page: str) -> list[tuple[tuple[tuple[int, str], ...], str]]:
     run: list[str] = []
     number = 0
 
+    def skips(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+        return 0 < _skipped(tag, attributes, in_article) <= most
+
     def flush():
         if run:
             text = " ".join("".join(run).split())
@@ -135,7 +157,7 @@ def parse(page: str) -> list[tuple[tuple[tuple[int, str], ...], str]]:
         attributes = _attributes(m.group(4))
         if _inline(tag):
             # inside a skipped element its own kind is counted, so that the right end tag ends it
-            if tag in VOID or not ((attributes and _skipped(tag, attributes, True)) or (stack and stack[-1][3] and any(s[0] == tag for s in stack))):
+            if tag in VOID or not ((attributes and skips(tag, attributes, True)) or (stack and stack[-1][3] and any(s[0] == tag for s in stack))):
                 continue
         else:
             flush()
@@ -149,7 +171,7 @@ def parse(page: str) -> list[tuple[tuple[tuple[int, str], ...], str]]:
         if tag in VOID or m.group(4).endswith("/"):
             continue
         number += 1
-        skipped = (bool(stack) and stack[-1][3]) or _skipped(tag, attributes, any(s[0] in ("article", "main") for s in stack))
+        skipped = (bool(stack) and stack[-1][3]) or skips(tag, attributes, any(s[0] in ("article", "main") for s in stack))
         named = ".".join([tag, *sorted(NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))])
         stack.append((tag, f"{stack[-1][1]}>{named}" if stack else named, number, skipped))
     flush()
@@ -261,8 +283,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     found = stored(templates(pages))
-    if found.limit(MOST_BROADCAST_HOSTS + 1).count() <= MOST_BROADCAST_HOSTS:
-        found = F.broadcast(found)  # a path and a few hashes for each host
+    hashes = F.coalesce(F.aggregate("constant", F.lit(0), lambda s, x: s + F.size(x)), F.lit(0))
+    size = F.octet_length("host") + F.coalesce(F.octet_length("slot"), F.lit(0)) + 24 * hashes + 64
+    if (found.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
+        found = F.broadcast(found)
 
     def run(batches):
         for batch in batches:
