@@ -206,16 +206,14 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-_loaded: dict[int, Pieces] = {}
+_loaded: list[tuple[list, Pieces]] = []
 
 
 def encoder(entries: list[tuple[str, float, int]]) -> Pieces:
-    """This worker's encoder of a vocabulary; what it has learnt serves the next tasks too."""
-    key = hash(tuple(entries[:100])) ^ len(entries)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Pieces(entries)
-    return _loaded[key]
+    """This worker's encoder of a vocabulary; what it has learnt serves the next tasks of the same one too."""
+    if not _loaded or _loaded[0][0] != entries:
+        _loaded[:] = [(entries, Pieces(entries))]
+    return _loaded[0][1]
 
 
 def _ids_array(ids: np.ndarray, counts: np.ndarray) -> pa.Array:

@@ -7,7 +7,8 @@ above ``max_host_rate`` takes its remaining documents with it.
 
 Defined results: a null text counts as empty (0 words, so it fails); a null host
 gets no host verdict; repeated rows are judged and counted one by one; an empty
-table gives an empty result; columns of any other name pass through ``keep``.
+table gives an empty result; columns of any other name pass through ``keep`` (names that
+start with two underscores are kept for the operators).
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import _pieces, mix, words_of
+from textloom.llm.common import _pieces, mix, stored, words_of
 
 #: Window of words that counts as a repeat when it is found twice.
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: A host above this shrunk failure rate is rejected as a whole.
 MAX_HOST_RATE = 0.5
-#: Up to so many rejected hosts are broadcast (about 1 MB of names); more are joined by a shuffle.
-BROADCAST_HOSTS = 10_000
+#: Rejected hosts are broadcast up to so many bytes of names; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -111,8 +112,6 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
 
 def host_verdicts(failures: DataFrame, host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """(host, n, fails, rate, rejected) from rows of (host, __base_failed)."""
-    from textloom.llm.common import stored
-
     hosts = stored(
         failures.where(F.col(host_col).isNotNull())
         .groupBy(F.col(host_col).alias("host"))
@@ -126,22 +125,20 @@ def host_verdicts(failures: DataFrame, host_col: str = "source", max_host_rate:
 def with_verdict(rows: DataFrame, verdicts: DataFrame, host_col: str = "source") -> DataFrame:
     """Add ``__kept``: the document's own rules, then its host's verdict."""
     bad = verdicts.where("rejected").select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))
-    if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    if (bad.agg(F.sum(F.octet_length("__host") + 32)).first()[0] or 0) <= BROADCAST_BYTES:
         bad = F.broadcast(bad)
     return rows.join(bad, F.col(host_col) == F.col("__host"), "left").withColumn("__kept", ~F.col("__base_failed") & F.col("__bad").isNull()).drop("__host", "__bad")
 
 
 def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The documents that pass, with their own columns."""
-    rows = measured(docs, docs.columns, text_col)
-    verdicts = host_verdicts(measured(docs, [host_col], text_col), host_col, max_host_rate)
+    rows = stored(measured(docs, docs.columns, text_col))
+    verdicts = host_verdicts(rows.select(host_col, "__base_failed"), host_col, max_host_rate)
     return with_verdict(rows, verdicts, host_col).where("__kept").select(*docs.columns)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """One row per document: its counts, ``base_failed`` and ``kept``."""
-    from textloom.llm.common import stored
-
     rows = stored(measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("source")), ["doc_id", "source"]))
     out = with_verdict(rows, host_verdicts(rows.select("source", "__base_failed"), "source", max_host_rate))
     return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in STATS], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
