@@ -42,6 +42,17 @@ def test_fingerprints(documents, rows):
     assert np.median(near) > 0.65 and np.quantile(far, 0.95) < 0.1 and np.mean(np.array(near) > np.array(far)) > 0.98
 
 
+def test_neighbours_of_scattered_ids(spark, rows):
+    """One far id must not put all others into one range; neighbours stay neighbours."""
+    far = sorted((i * 10**13 if i > 150 else i - 50, t) for i, t in rows)
+    got = {r.doc_id: r for r in fingerprints.compare_neighbours(spark.createDataFrame(far, "doc_id long, text string")).collect()}
+    for k, (i, t) in enumerate(far):
+        assert got[i].edited_sha256 == hashlib.sha256(fingerprints.edit(t, far[(k + 1) % len(far)][1]).encode()).hexdigest()
+    narrow = spark.createDataFrame([(i, 100) for i, _ in far], "okey long, n_bytes long")
+    firsts, size = fingerprints.ranges(narrow, 20, 1 << 30)
+    assert size.sum() == 100 * len(far) and size.max() <= 100 * len(far) // 20 and firsts.tolist() == sorted(firsts.tolist())
+
+
 def test_fingerprints_of_odd_texts(odd):
     out = {(r.doc_id, r.n_chars): r for r in fingerprints.compare_neighbours(odd).collect()}
     assert out[(1, 0)].fingerprint == out[(2, 0)].fingerprint and out[(1, 0)].near_next == 1.0
@@ -192,6 +203,13 @@ def test_pieces_round_trip_and_best(vocabulary):
             assert score == pytest.approx(best_score(model, entries, pieces.MARK + text.replace(" ", pieces.MARK)))
 
 
+def test_encoder_of_two_vocabularies():
+    own = [(f"<0x{b:02X}>", 0.0, pieces.BYTE) for b in range(256)]
+    first, second = (own + [(t, -1.0, pieces.NORMAL) for t in x] for x in ("ab", "cd"))
+    assert pieces.encoder(first).encode("a")[0].tolist() != pieces.encoder(second).encode("a")[0].tolist()
+    assert pieces.encoder(second) is pieces.encoder(list(second))
+
+
 def test_pieces_of_tables(spark, odd, vocabulary):
     path = str(vocabulary("piece_bpe_32k.model"))
     assert all(r.exact for r in pieces.round_trip(odd, path).collect())
@@ -231,6 +249,23 @@ def test_classifier_odd_texts(spark, odd):
     assert plain(quality.classify(odd.limit(0), marks)) == [] and quality.keep(odd, marks).columns == odd.columns
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(int(share * 10))
+    good, bad = rng.normal(0.8, 1, (8000, 12)), rng.normal(-0.8, 1, (8000, 12))
+    n = int(6000 * share)
+    assert quality.class_prior(good[:2000], np.concatenate([good[2000 : 2000 + n], bad[: 6000 - n]])) == pytest.approx(share, abs=0.06)
+
+
+def test_content_decides_where_style_is_equal(spark):
+    say = lambda k, w: " ".join(random.Random(k).choice(w) for _ in range(60)) + "."
+    data = [(k, say(k, ["river", "stone", "light", "grass"] if k % 2 else ["lucky", "prize", "claim", "bonus"])) for k in range(600)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, 1) for k in range(1, 400, 2)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.classify(docs, marks).collect()}
+    assert np.mean([got[k] > 0.5 for k in range(1, 600, 2)]) > 0.95 and np.mean([got[k] < 0.5 for k in range(0, 600, 2)]) > 0.95
+
+
 # ------------------------------------------------------------------ 5
 def check_shards(out, n):
     by = {}
@@ -319,6 +354,27 @@ def check_packing(out, docs, path):
     return sequences, by_doc
 
 
+def test_other_tokenizers_encode_whole_texts(vocabulary):
+    from tokenizers import Tokenizer
+
+    spec = open(vocabulary("byte_bpe_50k.json"), encoding="utf-8").read()
+    own, whole = packing.WordTokenizer(spec), Tokenizer.from_str(spec)
+    texts = ["Two  words\n", "", "0 a0b 10", None]
+    ids, counts = own(pa.array(texts))
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not own.by_word and counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_packing_in_many_cells(spark, vocabulary, monkeypatch):
+    """Rows that repeat go to many cells; full windows are sequences of their own."""
+    monkeypatch.setattr(packing, "CELL_PIECES", 10)
+    path, text = str(vocabulary("word_bpe_49k.json")), "word " * 5000
+    out = packing.pack(spark.createDataFrame([(1, text)] * 40, "doc_id long, text string"), path).collect()
+    assert len(out) == 40 * 3 and len({r.sequence_id for r in out if r.length == 2048}) == 80
+    cells = Counter(r.sequence_id >> 32 for r in out if r.length < 2048)
+    assert len(cells) == 4 and max(cells.values()) < 25
+
+
 def test_packing(documents, rows, vocabulary):
     path = str(vocabulary("word_bpe_49k.json"))
     sequences, by_doc = check_packing(packing.pack(documents, path).collect(), dict(rows), path)
@@ -339,6 +395,20 @@ def test_near_duplicates_equal_brute_force(spark, documents, rows, words, percen
     assert sorted(plain(neardup.near_duplicates(documents, words, percent))) == brute.near_duplicates(rows, words, percent)
 
 
+def test_bands_find_pairs_at_any_limit(spark, rows):
+    for percent in (15, 50, 80, 85, 100):
+        bands, values = neardup.bands_for(percent)
+        assert bands * values <= neardup.BINS and (1 - (percent / 100) ** values) ** bands <= neardup.MISSED
+    with pytest.raises(ValueError):
+        neardup.bands_for(5)
+    some = rows[:80] + [(900, rows[0][1] + " x"), (900, rows[1][1] + " y")]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    out = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 9, 60).collect()}
+    assert {out[rows[0][0]], out[rows[1][0]], out[900]} == {min(out[rows[0][0]], out[rows[1][0]])}, "an id is linked by any of its texts"
+    plain_ = [r for r in neardup.near_duplicates(docs.where("doc_id <> 900"), 9, 60).collect()]
+    assert sorted(map(tuple, plain_)) == brute.near_duplicates(rows[:80], 9, 60)
+
+
 def test_chains_and_outliers(spark):
     """Copies edited ever further from a base, and chains that only their ends' neighbours link."""
     rng = random.Random(4)
@@ -387,23 +457,37 @@ def test_near_duplicates_of_odd_rows(odd):
 # ------------------------------------------------------------------ 8
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
-    for k in range(150):
+    for k in range(200):
         x = rng.integers(0, rng.integers(1, 6), rng.integers(1, 60))
         x = np.tile(x, 3) if k % 5 == 0 else x
         sa = suffixes.suffix_array(x)
         assert sa.tolist() == sorted(range(len(x)), key=lambda i: list(x[i:]))
-        wanted = np.flatnonzero(rng.integers(0, 2, len(x)))
-        assert suffixes.suffix_array(x, wanted).tolist() == [i for i in sa if i in set(wanted)]
-        data = np.concatenate([x.astype(np.uint8) + 1, np.zeros(40, np.uint8)])
-        raw = data.tobytes()
-        plcp = suffixes.permuted_lcp(data, sa, 24)
+        left = np.arange(len(x), 0, -1)
+        plcp = suffixes.permuted_lcp(x.astype(np.uint16), sa, left)
         for a, b in zip(sa[:-1], sa[1:], strict=True):
             n = 0
-            while n < 24 and raw[a + n] == raw[b + n]:
+            while max(a, b) + n < len(x) and x[a + n] == x[b + n]:
                 n += 1
             assert plcp[b] == n
 
 
+def test_marked_windows_equal_search():
+    rng = random.Random(3)
+    for _ in range(60):
+        base = "".join(rng.choice("ab") for _ in range(40))
+        pieces = []
+        for _ in range(rng.randint(1, 25)):
+            at = rng.randint(0, 25)
+            pieces.append((base[at : at + rng.randint(8, 14)] + "x" * rng.randint(0, 3)).ljust(8, "y").encode())
+        owner = [rng.randint(0, 6) for _ in pieces]
+        got = set(zip(*(x.tolist() for x in substrings.mark(np.array(owner), np.array(list(map(len, pieces))), np.frombuffer(b"".join(pieces), np.uint8), 8)), strict=True))
+        least = {}
+        for o, p in zip(owner, pieces, strict=True):
+            for k in range(len(p) - 7):
+                least[p[k : k + 8]] = min(o, least.get(p[k : k + 8], 99))
+        assert got == {(n, k) for n, (o, p) in enumerate(zip(owner, pieces, strict=True)) for k in range(len(p) - 7) if least[p[k : k + 8]] < o}
+
+
 def test_repeats_equal_brute_force(documents, rows):
     assert sorted(plain(substrings.repeats(documents))) == sorted(brute.repeats(rows))
 
@@ -476,6 +560,19 @@ def test_text_after_a_skipped_inline_element(body, text):
     assert webpages.text_of(f"<html><body><nav>n</nav><article>{body}</article><footer>f</footer></body></html>", None, frozenset()) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><h1>T</h1><div class="elementor-widget-container"><p>The whole article text.</p></div><div class="share-price table"><p>Price rose.</p></div><p>End</p></article>', "T\nThe whole article text.\nPrice rose.\nEnd"),
+        ('<body><section class="responsive-menu-ready"><p>Body</p></section></body>', "Body"),
+        ('<body><section class="menu"><p>All the text</p></section><nav>x</nav></body>', "All the text"),
+        ('<body><p>t</p><div class="ad-box">buy</div><div id="cookie-notice">c</div><ul class="nav-list"><li>n</li></ul></body>', "t"),
+    ],
+)
+def test_names_of_elements(page, text):
+    assert webpages.text_of(page, None, None) == text
+
+
 def test_fixture_pages(spark, sf_dir):
     import html
 
@@ -530,3 +627,21 @@ def test_queries_equal_sql(spark, sf_dir):
         assert sorted(got.columns) == sorted(want.columns)
         key = lambda f: sorted(map(str, f[sorted(f.columns)].itertuples(index=False, name=None)))
         assert key(got) == key(want), name
+
+
+# ------------------------------------------------------------------ shared
+def test_no_local_folder_on_a_cluster():
+    class Nothing:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(Nothing)  # noqa: N815
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    class Session:
+        sparkContext, conf = Context(), Nothing()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())

@@ -121,6 +121,21 @@ def docs_view(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: Groups that are joined by broadcast: no more can hold this share of all rows.
+HOT_GROUPS = 50_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], n: str, total: int, how: str) -> DataFrame:
+    """``rows`` (read twice, so stored) joined with one row to a group, without a task for a large group.
+
+    ``n`` is the number of rows of a group.  At most HOT_GROUPS groups can have more than their
+    share of ``total`` rows: those are broadcast, the rest meet by a shuffle.
+    """
+    most = max(1000, total // HOT_GROUPS)
+    hot, cold = F.broadcast(groups.where(F.col(n) > most)), groups.where(F.col(n) <= most)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key, how))
+
+
 def tidy() -> None:
     """Give back memory that a worker has freed: it lives as long as its executor."""
     pa.default_memory_pool().release_unused()
