@@ -32,6 +32,9 @@ BLOCK_BYTES = 4 << 20
 #: Bytes of an Arrow batch that goes to a worker while tables are written.
 BATCH_BYTES = 4 << 20
 
+#: Bytes of a row group of stored tables.
+GROUP_BYTES = 8 << 20
+
 _left_behind: list[tuple[SparkSession, str]] = []
 
 
@@ -97,7 +100,7 @@ def stored(df: DataFrame, rows_per_group: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}"
     _left_behind.append((spark, path))
-    writer = df.write
+    writer = df.write.option("parquet.block.size", GROUP_BYTES)  # what a writer holds in memory
     if rows_per_group:
         writer = writer.option("parquet.block.row.count.limit", rows_per_group)
     with writing(spark):

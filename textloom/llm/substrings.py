@@ -43,7 +43,7 @@ MOST_WINDOWS = 200
 #: Text positions handled at once when minimizers are computed.
 CHUNK = 1 << 17
 #: Text bytes per bucket of the minimizer exchange, and per shard of pieces.
-TEXT_PER_BUCKET, TEXT_PER_SHARD = 8 << 20, 2 << 20
+TEXT_PER_BUCKET, TEXT_PER_SHARD = 8 << 20, 3 << 19
 NULL_ID = -(1 << 63)
 #: Ranges that a block knows already pass the shards by, spread over so many groups.
 SETTLED, KNOWN = 1 << 20, 1 << 30
@@ -220,8 +220,9 @@ def mark(owner: np.ndarray, sizes: np.ndarray, data: np.ndarray, length: int) ->
     # symbol 0 ends each piece
     whole = np.cumsum(sizes + 1)
     begin = whole - sizes - 1
-    piece = np.repeat(np.arange(len(sizes)), sizes + 1)
-    left = whole[piece] - np.arange(whole[-1])  # with the end
+    place = np.int32 if whole[-1] < 1 << 30 else np.int64
+    piece = np.repeat(np.arange(len(sizes), dtype=place), sizes + 1)
+    left = whole.astype(place)[piece] - np.arange(whole[-1], dtype=place)  # with the end
     text = np.zeros(whole[-1], np.uint16)
     text[left > 1] = data.astype(np.uint16) + 1
     sa = suffix_array(text, int(sizes.max()) + 1)
@@ -232,8 +233,8 @@ def mark(owner: np.ndarray, sizes: np.ndarray, data: np.ndarray, length: int) ->
     least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
     mine = owner[piece[order]]
     np.minimum.at(least, group, mine)
-    hit = np.sort(order[mine > least[group]])
-    return piece[hit], hit - begin[piece[hit]]
+    hit = np.sort(order[mine > least[group]]).astype(np.int64)
+    return piece[hit].astype(np.int64), hit - begin[piece[hit]]
 
 
 def _shard(length: int):

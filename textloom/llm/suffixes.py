@@ -41,12 +41,12 @@ def _deal(found: np.ndarray, symbols: np.ndarray, into: list[list[np.ndarray]])
 
 def _by_bucket(text: np.ndarray, kinds: int, lms: list[np.ndarray]) -> np.ndarray:
     """All suffixes in order, given the LMS suffixes of each bucket in order."""
-    n = len(text)
+    n, none = len(text), np.zeros(0, lms[0].dtype)
     larger: list[list[np.ndarray]] = [[] for _ in range(kinds)]
-    larger[int(text[-1])].append(np.array([n - 1]))  # before the virtual end
+    larger[int(text[-1])].append(np.array([n - 1], lms[0].dtype))  # before the virtual end
     lower = []
     for c in range(kinds):
-        mine, now = [], np.concatenate(larger[c]) if larger[c] else np.zeros(0, np.int64)
+        mine, now = [], np.concatenate(larger[c]) if larger[c] else none
         while len(now):
             mine.append(now)
             before = now[now > 0] - 1
@@ -54,7 +54,7 @@ def _by_bucket(text: np.ndarray, kinds: int, lms: list[np.ndarray]) -> np.ndarra
             up = symbol > c
             _deal(before[up], symbol[up], larger)
             now = before[symbol == c]
-        lower.append(np.concatenate(mine) if mine else np.zeros(0, np.int64))
+        lower.append(np.concatenate(mine) if mine else none)
         larger[c] = []
         if len(lms[c]):
             before = lms[c] - 1  # an LMS suffix always has one before it, of type L
@@ -62,7 +62,7 @@ def _by_bucket(text: np.ndarray, kinds: int, lms: list[np.ndarray]) -> np.ndarra
     smaller: list[list[np.ndarray]] = [[] for _ in range(kinds)]
     out = []
     for c in range(kinds - 1, -1, -1):
-        mine, now = [], np.concatenate(smaller[c]) if smaller[c] else np.zeros(0, np.int64)
+        mine, now = [], np.concatenate(smaller[c]) if smaller[c] else none
         while len(now):  # the largest first
             mine.append(now)
             before = now[now > 0] - 1
@@ -83,7 +83,7 @@ def _by_bucket(text: np.ndarray, kinds: int, lms: list[np.ndarray]) -> np.ndarra
 def _induce(text: np.ndarray, kinds: int, lms: np.ndarray) -> np.ndarray:
     parts: list[list[np.ndarray]] = [[] for _ in range(kinds)]
     _deal(lms, text[lms], parts)
-    return _by_bucket(text, kinds, [p[0] if p else np.zeros(0, np.int64) for p in parts])
+    return _by_bucket(text, kinds, [p[0] if p else np.zeros(0, lms.dtype) for p in parts])
 
 
 def _names(text: np.ndarray, ordered: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -109,7 +109,7 @@ def _ordered(name: np.ndarray, reach: int) -> np.ndarray:
     """
     n = len(name)
     sizes = np.bincount(name)
-    rank = np.append((np.cumsum(sizes) - sizes)[name] + 1, 0)  # one more than the suffixes below the group
+    rank = np.append((np.cumsum(sizes) - sizes)[name] + 1, 0).astype(np.int64)  # one more than the suffixes below the group
     open_, known = np.flatnonzero(sizes[name] > 1), 1
     while len(open_) and known < reach:
         key = rank[open_] * (n + 2) + rank[np.minimum(open_ + known, n)]
@@ -130,18 +130,18 @@ def suffix_array(text: np.ndarray, reach: int | None = None) -> np.ndarray:
     text = np.asarray(text).astype(np.uint16)
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64)
-    kinds = int(text.max()) + 1
+        return np.zeros(0, np.int32)
+    kinds, place = int(text.max()) + 1, np.int32 if n < 1 << 30 else np.int64
     s_type = classify(text)
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    lms = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(place)
     if len(lms) > 1:
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         order = _induce(text, kinds, lms)
         order = order[is_lms[order]]
-        following = np.zeros(n, np.int64)
+        following = np.zeros(n, place)
         following[lms] = np.append(lms[1:], n)
-        name = np.zeros(n, np.int64)
+        name = np.zeros(n, place)
         name[order] = _names(text, order, following[order])
         lms = lms[_ordered(name[lms], n if reach is None else reach)]
     return _induce(text, kinds, lms)
@@ -160,12 +160,12 @@ def permuted_lcp(text: np.ndarray, sa: np.ndarray, left: np.ndarray) -> np.ndarr
     the place before less one; only the others are compared, four symbols at a time.
     """
     n = len(text)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, sa.dtype)
     if n < 2:
         return out
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, sa.dtype)
     before[sa[1:]] = sa[:-1]
-    place = np.arange(n)
+    place = np.arange(n, dtype=sa.dtype)
     follows = np.zeros(n, bool)
     follows[1:] = (before[1:] > 0) & (left[1:] == left[:-1] - 1)
     at = np.flatnonzero(follows)
