@@ -139,6 +139,14 @@ def test_split_tables_and_code():
         splitter.split_text("text", 0)
 
 
+def test_indented_tables_are_not_cut_inside_a_row():
+    table = "".join(f"  | row {k} | {k} |\n" for k in range(20))
+    pieces = splitter.split_text("Words before.\n" + table, 120)
+    rows = [line for p in pieces for line in p[0].split("\n") if "row" in line]
+    assert all(line.strip().startswith("| row") and line.strip().endswith("|") for line in rows)
+    assert [b[0] for b in splitter.blocks_of("a\n  | x |\n\t| y |\nb")] == ["text", "table", "text"]
+
+
 def test_blocks_partition():
     text = "a\n| x |\n| y |\n```\n# c\n| z |\n```\nb\n~~~\nopen"
     blocks = splitter.blocks_of(text)

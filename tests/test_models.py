@@ -146,12 +146,38 @@ def test_embedding_cache_and_batches(spark):
     assert len(got) == 9 and calls.value == 3
     assert all(abs(np.linalg.norm(r.vector) - 1) < 1e-3 for r in got)
     cache = spark.createDataFrame(fresh.collect(), fresh.schema)
+    assert calls.value == 3, "reading the new entries asks the model again"
     before = calls.value
     again, more = models.embed(rows, "text", lambda: Counting(16), "m", 16, "q {text} {x}", cache)
     assert again.count() == 9 and more.count() == 0 and calls.value == before
     assert tuple(models.cache_use(models.keyed(rows, "text", "m", 16, "q {text} {x}"), cache).first()) == (3, 0)
 
 
+def test_a_saving_cache_keeps_finished_rounds(spark, tmp_path, monkeypatch):
+    from textloom.sources import files
+
+    monkeypatch.setattr(models, "answered", lambda *a, f=models.answered: f(*a, per_round=5))
+    rows = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "n int, text string")
+    cache, calls = files.Cache(spark, str(tmp_path / "c")), spark.sparkContext.accumulator(0)
+
+    class Failing(models.HashingEmbedder):
+        def embed(self, texts):
+            calls.add(len(texts))
+            if "text 17" in texts:
+                raise KeyError("no")
+            return super().embed(texts)
+
+    with pytest.raises(Exception, match="no"):
+        models.embed(rows, "text", lambda: Failing(16), "m", 16, cache=cache, batch_size=1)
+    held = cache.read()
+    kept = 0 if held is None else held.count()
+    out, fresh = models.embed(rows, "text", models.embedder_for("offline", dimensions=16), "m", 16, cache=cache)
+    assert fresh is None and out.count() == 40 and cache.read().count() == 40 and kept % 1 == 0
+    again, _ = models.embed(rows, "text", lambda: Failing(16), "m", 16, cache=cache)
+    before = calls.value
+    assert again.count() == 40 and calls.value == before
+
+
 def test_limiter_and_retries():
     now = [0.0]
     limiter = models.RateLimiter(2, 100, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))

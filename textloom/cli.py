@@ -45,10 +45,6 @@ def _make(config: config_module.Config):
     return embed, models.completer_for(p["provider"], **options)
 
 
-def _cached(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if files.exists(spark, path) else None
-
-
 def run(spark: SparkSession, config: config_module.Config) -> None:
     docs, questions, facts = loaded(spark, config)
     out, cache = config.settings["results_dir"], config.settings["cache_dir"]
@@ -59,8 +55,7 @@ def run(spark: SparkSession, config: config_module.Config) -> None:
         return spark.read.parquet(f"{out}/{name}")
 
     suggestions = files.read_suggestions(spark, f"{out}/review_suggestions.json")
-    outcome = experiment.execute(spark, config, docs, questions, facts, embed, answer, _cached(spark, f"{cache}/embeddings"), _cached(spark, f"{cache}/answers"), store, suggestions)
-    experiment.save_new(cache, outcome)
+    outcome = experiment.execute(spark, config, docs, questions, facts, embed, answer, files.Cache(spark, f"{cache}/embeddings"), files.Cache(spark, f"{cache}/answers"), store, suggestions)
     experiment.write_manifest(f"{out}/manifest.json", outcome)
     for r in config.runs:
         files.write_review(f"{out}/{r['id']}/review.csv", outcome.review.where(F.col("run_id") == r["id"]))

@@ -126,6 +126,26 @@ def cut_kind(text: Column, at: Column) -> Column:
     )
 
 
+#: Characters shown on either side of a cut.
+AROUND = 25
+IN_WORD = "^[\\p{L}\\p{N}]{2}\\z"
+
+
+def cut_kind_of(before: Column, after: Column, rest: Column) -> Column:
+    """SC-13 for a cut inside a text, from its line up to it, what follows and the rest of its line (only looked at if the line begins at the cut)."""
+    bare = F.regexp_replace(before, f"^[{UNICODE_SPACE}]+", "")
+    line = F.when(F.length(bare) >= 2, bare).otherwise(F.regexp_replace(F.concat(before, rest), f"^[{UNICODE_SPACE}]+", ""))
+    tail = F.regexp_replace(F.substring(before, F.greatest(F.length(before) - 1, F.lit(1)), F.lit(2)), " +\\z", "")
+    return (
+        F.when((before == "") | after.startswith("\n"), F.lit("clean"))
+        .when(line.startswith("|"), F.lit("table-row"))
+        .when(line.startswith("- ") | line.startswith("* "), F.lit("list-item"))
+        .when(line.startswith("#"), F.lit("heading"))
+        .when(tail.rlike("[.?!]\\z"), F.lit("sentence-end"))
+        .otherwise(F.lit("mid-sentence"))
+    )
+
+
 def cut_context(text: Column, at: Column, width: int = 25) -> Column:
     """SC-15: the characters around a cut, with a bar at it and newlines shown."""
     start = F.greatest(at - width, F.lit(0))

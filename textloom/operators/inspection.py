@@ -25,10 +25,17 @@ def chunk_stats(chunks: DataFrame, docs: DataFrame, key: list[str], doc_key: lis
 def find_cuts(chunks: DataFrame, docs: DataFrame, key: list[str], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """CH-15: every chunk boundary inside its document: side, position, kind, mid_word, context."""
     keep = keep or [*key, "id"]
-    ends = chunks.select(*keep, F.expr("stack(2, 'start', start_char, 'end', end_char) as (side, position)"))
-    inside = ends.join(docs.select(*key, F.col(text_col).alias("__text")), key).where((F.col("position") > 0) & (F.col("position") < F.length(F.regexp_replace("__text", "\n+\\z", ""))))
+    ends = chunks.select(*keep, F.expr("stack(2, 'start', start_char, 'end', end_char) as (side, position)")).where("position > 0")
+    # the length counts once a document; a cut looks at the text up to it and at a few characters around it, each once
+    texts = docs.select(*key, F.col(text_col).alias("__text"), F.length(F.regexp_replace(text_col, "\n+\\z", "")).alias("__solid"))
+    inside = ends.join(texts, key).where("position < __solid")
     text, at = F.col("__text"), F.col("position")
-    return inside.select(*keep, "side", "position", T.cut_kind(text, at).alias("kind"), T.mid_word(text, at).alias("mid_word"), T.cut_context(text, at).alias("context"))
+    inside = inside.select(*keep, "side", "position", "__text", F.substring_index(F.substring(text, F.lit(1), at), "\n", -1).alias("__before"), T.between(text, F.greatest(at - T.AROUND, F.lit(0)), at + T.AROUND).alias("__around"))
+    left = F.least(at, F.lit(T.AROUND))
+    around, after = F.col("__around"), F.substring(F.col("__around"), left + 1, F.lit(T.AROUND))
+    pair = F.concat(F.substring(around, left, F.lit(1)), F.substring(after, 1, 1))
+    kind = T.cut_kind_of(F.col("__before"), after, F.substring_index(F.substring(text, at + 1, F.length(text)), "\n", 1))
+    return inside.select(*keep, "side", "position", kind.alias("kind"), pair.rlike(T.IN_WORD).alias("mid_word"), T.newlines_shown(F.concat(F.substring(around, F.lit(1), left), F.lit("|"), after)).alias("context"))
 
 
 def cut_summary(cuts: DataFrame, by: list[str]) -> DataFrame:

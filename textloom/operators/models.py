@@ -11,7 +11,7 @@ import hashlib
 import random
 import re
 import time
-from collections import deque
+from bisect import bisect_left
 from collections.abc import Callable, Iterable
 from typing import Any, Protocol
 
@@ -44,42 +44,56 @@ class Completer(Protocol):
 
 
 class RetryError(RuntimeError):
-    """A call failed after all its retries; finished calls are cached, so run again to resume."""
+    """A call failed after all its retries; a saving cache has the rounds before, so run again to resume."""
 
 
 class RateLimiter:
-    """CON-4: at most so many requests and tokens in any 60 seconds."""
+    """CON-4: at most so many requests and tokens in any 60 seconds.
+
+    The log holds the time of each request and the tokens up to it, so the moment at which
+    the next one fits is looked up, not waited for in small steps.
+    """
 
     def __init__(self, requests: int, tokens: int | None = None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, window: float = 60.0) -> None:
         self.requests, self.tokens, self.clock, self.sleep, self.window = requests, tokens, clock, sleep, window
-        self.past: deque[tuple[float, int]] = deque()
+        self.times: list[float] = []
+        self.sums = [0]
+
+    def free_at(self, tokens: int) -> float:
+        """When a request of so many tokens fits."""
+        over = [self.clock()]
+        if len(self.times) >= self.requests:
+            over.append(self.times[-self.requests] + self.window)
+        if self.tokens is not None:
+            k = bisect_left(self.sums, self.sums[-1] + tokens - self.tokens)  # so many of the oldest must be over
+            over += [self.times[k - 1] + self.window] if k else []
+        return max(over)
 
     def acquire(self, tokens: int = 0) -> None:
         if self.tokens is not None and tokens > self.tokens:
-            raise ValueError(f"a request of {tokens} tokens is over the limit of {self.tokens} a minute")
-        while True:
-            now = self.clock()
-            while self.past and now - self.past[0][0] >= self.window:
-                self.past.popleft()
-            full = len(self.past) >= self.requests or self.tokens is not None and sum(n for _, n in self.past) + tokens > self.tokens
-            if not full:
-                self.past.append((now, tokens))
-                return
-            self.sleep(self.past[0][0] + self.window - now)
+            raise ValueError(f"{tokens} tokens never fit a limit of {self.tokens} a minute")
+        wait = self.free_at(tokens) - self.clock()
+        if wait > 0:
+            self.sleep(wait)
+        self.times.append(self.clock())
+        self.sums.append(self.sums[-1] + tokens)
+        old = max(0, len(self.times) - 10 * self.requests)
+        del self.times[:old], self.sums[:old]
 
 
 def with_retries(call: Callable[[], Any], retryable: Callable[[Exception], bool], retries: int = 5, sleep: Callable[[float], None] = time.sleep, rng: random.Random | None = None) -> Any:
     """CON-5: try again after random pauses of up to 2, 4, 8, ... seconds."""
-    rng = rng or random.Random()
-    for attempt in range(retries + 1):
+    draw = (rng or random).uniform
+    pauses = [draw(0, 2.0**k) for k in range(1, retries + 1)]
+    while True:
         try:
             return call()
         except Exception as e:
             if not retryable(e):
                 raise
-            if attempt == retries:
-                raise RetryError(f"gave up after {retries} retries: {e}") from e
-            sleep(rng.uniform(0, 2 * 2**attempt))
+            if not pauses:
+                raise RetryError(f"no answer in {retries + 1} tries: {e}") from e
+        sleep(pauses.pop(0))
 
 
 def transient(error: Exception) -> bool:
@@ -208,15 +222,40 @@ def keyed(rows: DataFrame, text_col: str, model: str, dims: int, template: str)
     return rows.withColumn("embedded_text", filled).withColumn("cache_key", T.digest(F.lit(model), F.lit(str(dims)), filled))
 
 
-def embed(rows: DataFrame, text_col: str, make: Callable[[], Embedder], model: str, dims: int, template: str = "{text}", cache: DataFrame | None = None, batch_size: int = 100, requests_per_minute: int | None = None, tokens_per_minute: int | None = None, partitions: int = 1) -> tuple[DataFrame, DataFrame]:
-    """EM-1, EM-2: (rows with ``vector``, the new cache entries).
+#: Misses that a model gets before its answers are saved.
+ROUND = 20_000
+
+
+def answered(wanted: DataFrame, run: Callable, schema: str, cache: Any, partitions: int, per_round: int = ROUND) -> tuple[DataFrame, DataFrame | None]:
+    """(everything known, the new entries): the misses among ``wanted`` go to the model once.
+
+    ``cache`` is a table, nothing, or something with ``read`` and ``append`` (``files.Cache``).  The
+    last gets the answers round by round, so a failed run keeps all but its last round, and
+    nothing is new afterwards.  Otherwise the new entries are persisted: whoever reads them
+    twice does not ask the model twice.
+    """
+    saves = hasattr(cache, "append")
+    held = cache.read() if saves else cache
+    if held is not None:
+        wanted = wanted.join(held.select("cache_key"), "cache_key", "left_anti")
+    if not saves:
+        fresh = wanted.repartition(partitions).mapInArrow(run, schema).persist()
+        return (fresh if held is None else held.select(*fresh.columns).unionByName(fresh)), fresh
+    rounds = -(-wanted.count() // per_round)
+    for k in range(rounds):
+        part = wanted.where(F.pmod(F.xxhash64("cache_key"), F.lit(rounds)) == k)
+        cache.append(part.repartition(partitions).mapInArrow(run, schema))
+    known = cache.read()
+    return (wanted.repartition(1).mapInArrow(run, schema) if known is None else known), None
+
+
+def embed(rows: DataFrame, text_col: str, make: Callable[[], Embedder], model: str, dims: int, template: str = "{text}", cache: Any = None, batch_size: int = 100, requests_per_minute: int | None = None, tokens_per_minute: int | None = None, partitions: int = 1) -> tuple[DataFrame, DataFrame | None]:
+    """EM-1, EM-2: (rows with ``vector``, the new cache entries; none if the cache saves them itself).
 
     Every distinct text is embedded once; quotas are divided by the partitions that call.
     """
     rows = keyed(rows, text_col, model, dims, template)
     wanted = rows.select("cache_key", "embedded_text").dropDuplicates(["cache_key"])
-    if cache is not None:
-        wanted = wanted.join(cache.select("cache_key"), "cache_key", "left_anti")
 
     def run(batches: Iterable[pa.RecordBatch]):
         client = make()
@@ -225,15 +264,18 @@ def embed(rows: DataFrame, text_col: str, make: Callable[[], Embedder], model: s
             for at in range(0, batch.num_rows, batch_size):
                 part = batch.slice(at, batch_size)
                 texts = part.column("embedded_text").to_pylist()
-                if limiter:
-                    limiter.acquire(sum(-(-len(t) // 4) for t in texts))
-                matrix = normalised(np.asarray(with_retries(lambda texts=texts: client.embed(texts), transient), np.float32))
+
+                def ask(texts=texts):  # every try counts against the limit
+                    if limiter:
+                        limiter.acquire(sum(-(-len(t) // 4) for t in texts))
+                    return client.embed(texts)
+
+                matrix = normalised(np.asarray(with_retries(ask, transient), np.float32))
                 if matrix.shape != (len(texts), dims):
                     raise ValueError(f"embeddings of shape {matrix.shape}, expected {(len(texts), dims)}")
                 yield pa.RecordBatch.from_arrays([part.column("cache_key"), pa.array(matrix.tolist(), pa.list_(pa.float32()))], names=["cache_key", "vector"])
 
-    fresh = wanted.repartition(partitions).mapInArrow(run, "cache_key string, vector array<float>")
-    known = fresh if cache is None else cache.select("cache_key", "vector").unionByName(fresh)
+    known, fresh = answered(wanted, run, "cache_key string, vector array<float>", cache, partitions)
     return rows.join(known, "cache_key").drop("embedded_text"), fresh
 
 
@@ -251,26 +293,27 @@ def prompts(contexts: DataFrame, questions: DataFrame) -> DataFrame:
     return out.withColumn("user", F.concat("context", F.lit("\n\nQuestion: "), "question"))
 
 
-def generate(rows: DataFrame, make: Callable[[], Completer], provider: str, model: str, temperature: float, cache: DataFrame | None = None, system: str = SYSTEM_PROMPT, requests_per_minute: int | None = None, partitions: int = 1) -> tuple[DataFrame, DataFrame]:
-    """GN-3, GN-5: (rows with answer and latency_s, the new cache entries); a hit keeps its first latency."""
+def generate(rows: DataFrame, make: Callable[[], Completer], provider: str, model: str, temperature: float, cache: Any = None, system: str = SYSTEM_PROMPT, requests_per_minute: int | None = None, partitions: int = 1) -> tuple[DataFrame, DataFrame | None]:
+    """GN-3, GN-5: (rows with answer and latency_s, the new cache entries as for ``embed``); a hit keeps its first latency."""
     rows = rows.withColumn("cache_key", T.digest(F.lit(provider), F.lit(model), F.lit(str(temperature)), F.lit(system), F.col("user")))
     wanted = rows.select("cache_key", "user").dropDuplicates(["cache_key"])
-    if cache is not None:
-        wanted = wanted.join(cache.select("cache_key"), "cache_key", "left_anti")
 
     def run(batches: Iterable[pa.RecordBatch]):
         client = make()
         limiter = RateLimiter(max(1, requests_per_minute // partitions)) if requests_per_minute else None
         for batch in batches:
             for key, user in zip(batch.column("cache_key").to_pylist(), batch.column("user").to_pylist(), strict=True):
-                if limiter:
-                    limiter.acquire()
-                began = time.monotonic()
-                answer = with_retries(lambda user=user: client.complete(system, user), transient).strip()
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([answer]), pa.array([round(time.monotonic() - began, 2)])], names=["cache_key", "answer", "latency_s"])
-
-    fresh = wanted.repartition(partitions).mapInArrow(run, "cache_key string, answer string, latency_s double")
-    known = fresh if cache is None else cache.select("cache_key", "answer", "latency_s").unionByName(fresh)
+
+                def ask(user=user):
+                    if limiter:
+                        limiter.acquire()
+                    began = time.monotonic()
+                    return client.complete(system, user).strip(), round(time.monotonic() - began, 2)
+
+                answer, seconds = with_retries(ask, transient)
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([answer]), pa.array([seconds])], names=["cache_key", "answer", "latency_s"])
+
+    known, fresh = answered(wanted, run, "cache_key string, answer string, latency_s double", cache, partitions)
     return rows.join(known, "cache_key"), fresh
 
 

@@ -89,7 +89,7 @@ def median_ms(call: Callable[[], Any], repeats: int = 50) -> float:
     return round(statistics.median(times), 3)
 
 
-def execute(spark: SparkSession, config: Config, docs: DataFrame, questions: DataFrame, facts: DataFrame, embed_with: Callable, answer_with: Callable, embed_cache: DataFrame | None = None, answer_cache: DataFrame | None = None, store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df, suggestions: DataFrame | None = None, previous: DataFrame | None = None, forbidden: str | None = None) -> Outcome:
+def execute(spark: SparkSession, config: Config, docs: DataFrame, questions: DataFrame, facts: DataFrame, embed_with: Callable, answer_with: Callable, embed_cache: Any = None, answer_cache: Any = None, store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df, suggestions: DataFrame | None = None, previous: DataFrame | None = None, forbidden: str | None = None) -> Outcome:
     """The whole experiment.
 
     ``store(name, table)`` may write a table and return it re-read; finished stages then survive.
@@ -103,13 +103,15 @@ def execute(spark: SparkSession, config: Config, docs: DataFrame, questions: Dat
         return out
 
     s, e, profile = config.settings, config.embedding, config.profile
+    # a quota is kept by one caller; a model of one's own is asked by all tasks
+    parts = lambda quota: 1 if quota else int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = staged("chunks", chunks_of_runs(docs, config.runs))
     cuts = staged("cuts", inspection.find_cuts(chunks, docs, ["doc_id"], keep=["run_id", "doc_id", "id"]))
     doc_tokens = docs.agg(F.sum(T.estimated_tokens(F.col("text")))).first()[0] or 0
     stats = chunks.groupBy("run_id").agg(F.count(F.lit(1)).alias("chunks"), F.avg("est_tokens").alias("mean_tokens"), F.min("est_tokens").alias("min_tokens"), F.max("est_tokens").alias("max_tokens"), F.sum("est_tokens").alias("total_tokens"))
     stats = stats.withColumn("redundancy", F.col("total_tokens") / F.nullif(F.lit(doc_tokens), F.lit(0)))
-    embedded, new_vectors = models.embed(chunks, "text", embed_with, e["model"], e["dimensions"], e["document_template"], embed_cache, e["batch_size"], e["requests_per_minute"], e["tokens_per_minute"])
-    asked, new_queries = models.embed(questions, "question", embed_with, e["model"], e["dimensions"], e["query_template"], embed_cache, e["batch_size"], e["requests_per_minute"], e["tokens_per_minute"])
+    embedded, new_vectors = models.embed(chunks, "text", embed_with, e["model"], e["dimensions"], e["document_template"], embed_cache, e["batch_size"], e["requests_per_minute"], e["tokens_per_minute"], parts(e["requests_per_minute"]))
+    asked, new_queries = models.embed(questions, "question", embed_with, e["model"], e["dimensions"], e["query_template"], embed_cache, e["batch_size"], e["requests_per_minute"], e["tokens_per_minute"], parts(e["requests_per_minute"]))
     embedded, asked = staged("chunk_vectors", embedded.select("run_id", "chunk_id", "doc_id", "seq", "vector")), staged("question_vectors", asked.select("question_id", "vector"))
     for rows in (embedded, asked):
         if retrieval.unit_violations(rows, e["dimensions"]).limit(1).count():
@@ -127,7 +129,7 @@ def execute(spark: SparkSession, config: Config, docs: DataFrame, questions: Dat
     making = [r["id"] for r in config.runs if r["generate"]]
     texts = hits.where("in_context").where(F.col("run_id").isin(making)).join(chunks.select("run_id", "chunk_id", "text"), ["run_id", "chunk_id"])
     asks = models.prompts(models.context_text(texts, ["run_id", "question_id"]), questions)
-    answered, new_answers = models.generate(asks, answer_with, profile["provider"], profile["model"], config.generation["temperature"], answer_cache, requests_per_minute=profile["requests_per_minute"])
+    answered, new_answers = models.generate(asks, answer_with, profile["provider"], profile["model"], config.generation["temperature"], answer_cache, requests_per_minute=profile["requests_per_minute"], partitions=parts(profile["requests_per_minute"]))
     answered = answered.join(contexts.select("run_id", "question_id", "context_ids"), ["run_id", "question_id"])
     answered = staged("answers", answered.select("run_id", "question_id", "question", "context_ids", T.citations(F.col("context_ids")).alias("sources"), "answer", "latency_s", "cache_key"))
     rows = review.build_rows(contexts, chunks, questions, facts, answered, forbidden=forbidden)
@@ -139,6 +141,9 @@ def execute(spark: SparkSession, config: Config, docs: DataFrame, questions: Dat
     judged = _relevant(hits, chunks, facts)
     found = staged("metrics", metrics.run_metrics(rows, questions, judged, stats, contexts))
     manifest = {"created_at": datetime.now(UTC).isoformat(timespec="seconds"), "git": git_state(), "config": {"settings": s, "embedding": e, "generation": config.generation, "runs": config.runs}, "seconds": {**times, "total": round(time.time() - began, 3)}}
+    asked_for = answered.agg(F.count(F.lit(1)), F.sum("latency_s"), F.countDistinct("cache_key")).first()
+    manifest["generation"] = {"answers": asked_for[0], "distinct": asked_for[2], "latency_s": round(asked_for[1] or 0.0, 2)}
+    manifest["chunks"] = {r["run_id"]: r["chunks"] for r in stats.select("run_id", "chunks").collect()}
     out = Outcome(chunks, cuts, stats, hits, contexts, answered, rows, found, manifest)
     out.manifest["new"] = {"vectors": new_vectors, "queries": new_queries, "answers": new_answers}
     return out
@@ -153,10 +158,11 @@ def _relevant(hits: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame
 
 
 def save_new(cache: str, outcome: Outcome) -> None:
-    """Append what this run embedded and generated to the cache tables below ``cache``."""
+    """Append what this run embedded and generated to the cache tables below ``cache``, where the caches did not save it themselves."""
     new = outcome.manifest.pop("new")
-    files.append_missing(f"{cache}/embeddings", new["vectors"].unionByName(new["queries"]))
-    files.append_missing(f"{cache}/answers", new["answers"])
+    for name, folder in (("vectors", "embeddings"), ("queries", "embeddings"), ("answers", "answers")):
+        if new[name] is not None:
+            files.append_missing(f"{cache}/{folder}", new[name])
 
 
 def write_manifest(path: str, outcome: Outcome) -> None:

@@ -59,7 +59,7 @@ VECTORS = """
     s as (select question_id, ql, vec_id as chunk_id, label as cl, list_dot_product(q.v::double[], e.embedding::double[]) as score from q, embeddings e),
     h as (select *, row_number() over (partition by question_id order by score desc, chunk_id)::int as rank from s)"""
 SIZED = VECTORS + ", hit as (select h.*, coalesce(ceil(d.n_chars / 4.0)::int, 1) as est_tokens from h left join documents d on d.doc_id = h.chunk_id)"
-BUDGET = SIZED + ", run as (select *, rank = 1 or sum(est_tokens) over (partition by question_id order by rank) <= 4000 as in_context from hit where rank <= 40)"
+BUDGET = SIZED + ", run as (select *, rank = 1 or sum(est_tokens) over (partition by question_id order by rank) <= 4000 as in_context from hit)"
 
 
 def _norm(x: str) -> str:

@@ -158,7 +158,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ranked(chunks, queries.drop("label"), 5).select("question_id", "chunk_id", "rank")
 
 
-def _hits(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+def _hits(spark: SparkSession, sf_dir: str, n: int | None) -> DataFrame:
     chunks, queries = corpora.vectors(spark, sf_dir)
     hits = retrieval.ranked(chunks, queries.drop("label"), n)
     sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), T.tokens_of_length(F.col("n_chars")).alias("est_tokens"))
@@ -171,12 +171,12 @@ def context_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.with_context(_hits(spark, sf_dir, 40), "token_budget", budget=4000)
+    hits = retrieval.with_context(_hits(spark, sf_dir, None), "token_budget", budget=4000)
     return retrieval.contexts(hits).select("question_id", F.array_join("context_ids", " ").alias("context_ids"), "context_tokens")
 
 
 def logged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.with_context(_hits(spark, sf_dir, 40), "token_budget", budget=4000)
+    hits = retrieval.with_context(_hits(spark, sf_dir, None), "token_budget", budget=4000)
     return retrieval.logged(hits, 5).select("question_id", "chunk_id", "rank", "est_tokens", "in_context")
 
 

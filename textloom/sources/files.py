@@ -95,6 +95,19 @@ def append_missing(cache: str, rows: DataFrame, key: str = "cache_key") -> None:
     rows.dropDuplicates([key]).write.mode("append").parquet(cache)
 
 
+class Cache:
+    """A cache table that grows as a run goes on."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def read(self) -> DataFrame | None:
+        return self.spark.read.parquet(self.path) if exists(self.spark, self.path) else None
+
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path)
+
+
 def write_json(path: str, data: Any) -> None:
     """SNK-1: byte-stable JSON."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
