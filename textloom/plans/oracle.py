@@ -132,6 +132,14 @@ SQL = {
         select doc_id, (unit_no - 1)::int as seq, 'B-' || slug || case when again > 1 then '-' || again else '' end as id, path, start_char, end_char, ceil(length(t) / 4.0)::int as est_tokens, sha256(t) as sha from n""",
     "prefix_toggle": f"""with {TURNS}, {UNITS.format(least=100)} select doc_id, (unit_no - 1)::int as seq, true as same_bounds, ceil((length(path) + 2 + end_char - start_char) / 4.0)::int as with_path, ceil((end_char - start_char) / 4.0)::int as without_path from units""",
     "split_coverage": "select doc_id, true as fits, length(regexp_replace(text, '\\s', '', 'g'))::int as n_solid from documents",
+    "split_tables": """with d as (select doc_id, (doc_id % 60 + 1)::int as n from documents), c as (select *, case when n <= 7 then 1 else ceil(n / 7.0)::int end as m from d),
+        r as (select *, least(m - 1, floor((21 * (i - 1) + 10.5) / (21.0 * n / m)))::int as g from (select *, unnest(range(1, n + 1))::int as i from c)),
+        p as (select doc_id, any_value(n) as n, any_value(m) as m, g, min(i)::int as first, max(i)::int as last from r group by doc_id, g)
+        select doc_id, (row_number() over (partition by doc_id order by g) - 1)::int as k, first, last, first > 1 as repeated, true as headed,
+          case when first = 1 then 0 else 22 + 21 * (first - 1) end::int as start, (22 + 21 * last - 1)::int as "end" from p""",
+    "split_code": """with d as (select doc_id, (doc_id % 40 + 2)::int as n from documents), l as (select doc_id, n, i, (i - 1) // 5 as g from (select *, unnest(range(1, n + 1)) as i from d))
+        select doc_id, g::int as k, '```py' || chr(10) || string_agg('line_' || lpad(i::varchar, 5, '0'), chr(10) || chr(10) order by i) || chr(10) || '```' as text, any_value(n) >= 5 as repeated from l group by doc_id, g
+        """,
     "cosine_topk": f"with {VECTORS} select question_id, chunk_id, rank from h where rank <= 5",
     "context_topk": f"with {SIZED} select question_id, string_agg(chunk_id::varchar, ' ' order by rank) as context_ids, sum(est_tokens)::bigint as context_tokens from hit where rank <= 3 group by question_id",
     "context_token_budget": f"with {BUDGET} select question_id, string_agg(chunk_id::varchar, ' ' order by rank) as context_ids, sum(est_tokens)::bigint as context_tokens from run where in_context group by question_id",

@@ -153,6 +153,27 @@ def split_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (longest <= 1200).alias("fits"), held.alias("n_solid"))
 
 
+def split_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indented tables of 1 to 60 equal rows, seven rows to a piece at most, the header above each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 60 + 1).cast("int").alias("n"))
+    rows = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat(F.lit("  | "), F.lpad(k.cast("string"), 6, "0"), F.lit(" | value |\n")))
+    text = F.concat(F.lit("| id | v |\n|----|---|\n"), F.array_join(rows, ""))
+    pieces = docs.withColumn("p", splitter.split_column(text, F.lit(22 + 7 * 21), F.lit(0)))
+    out = pieces.select("doc_id", "n", F.posexplode("p").alias("k", "p"))
+    # a table within the budget stays as it is, with its last line
+    held = F.regexp_extract_all(F.col("p.text"), F.lit("\\| (\\d{6}) \\|"), F.lit(1))
+    return out.select("doc_id", F.col("k").cast("int").alias("k"), F.element_at(held, 1).cast("int").alias("first"), F.element_at(held, -1).cast("int").alias("last"), F.col("p.repeated_header").alias("repeated"), F.col("p.text").startswith("| id | v |\n|----|---|\n").alias("headed"), F.col("p.start").alias("start"), F.col("p.end").alias("end"))
+
+
+def split_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fenced code of 2 to 41 equal paragraphs, packed five to a piece in a fence of its own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40 + 2).cast("int").alias("n"))
+    parts = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.concat(F.lit("line_"), F.lpad(k.cast("string"), 5, "0")))
+    text = F.concat(F.lit("```py\n"), F.array_join(parts, "\n\n"), F.lit("\n```\n"))
+    pieces = docs.withColumn("p", splitter.split_column(text, F.lit(5 + 3 + 2 + 5 * 12 - 2), F.lit(0)))
+    return pieces.select("doc_id", F.posexplode("p").alias("k", "p")).select("doc_id", F.col("k").cast("int").alias("k"), F.col("p.text").alias("text"), F.col("p.repeated_header").alias("repeated"))
+
+
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, queries = corpora.vectors(spark, sf_dir)
     return retrieval.ranked(chunks, queries.drop("label"), 5).select("question_id", "chunk_id", "rank")
