@@ -10,7 +10,8 @@ with a smaller id; strings are judged on the input and never cross documents.
    of a few dozen bytes.  Equal pieces of a block go out once, for its smallest id;
    for the block's other documents the answer is known already.  A minimizer decides
    the shard, so equal windows meet in one shard whatever document they are from.
-3. A shard builds the suffix array of its pieces by induced sorting; permuted common
+3. A shard takes equal pieces for one string, of the smallest id that has it, and builds
+   the suffix array of its strings by induced sorting; permuted common
    prefixes of at least ``length`` bytes delimit groups of equal windows, and all but those
    of a group's smallest document are marked.
 4. The marked byte ranges return to their block, which joins them and cuts the texts.
@@ -241,16 +242,33 @@ def _shard(length: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
             return table.set_column(table.schema.get_field_index("bucket"), "bucket", pa.array([KNOWN] * table.num_rows, pa.int32())).select(["block", "bucket", "payload"])
-        own, sizes, places, texts, blocks = [], [], [], [], table["block"].to_pylist()
+        own, sizes, places, blocks = [], [], [], table["block"].to_pylist()
+        known: dict[bytes, int] = {}
+        number = []  # of each piece among the distinct ones
         for data in map(unsqueeze, table["payload"].to_pylist()):
             n, m = np.frombuffer(data, "<i8", 2)
             at = 16 + 8 * n
             own.append(np.frombuffer(data, "<i8", n, 16))
             sizes.append(np.frombuffer(data, "<i4", n, at).astype(np.int64))
             places.append(np.frombuffer(data, "<i4", n + 2 * m, at + 4 * n).astype(np.int64))
-            texts.append(np.frombuffer(data, np.uint8, -1, at + 8 * n + 8 * m))
-        piece, offset = mark(np.concatenate(own), np.concatenate(sizes), np.concatenate(texts), length)
-        del texts
+            ends = (at + 8 * n + 8 * m + np.cumsum(sizes[-1])).tolist()
+            number += [known.setdefault(data[e - k : e], len(known)) for e, k in zip(ends, sizes[-1].tolist(), strict=True)]
+        number, owner = np.array(number, np.int64), np.concatenate(own)
+        least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, owner)
+        size = np.zeros(len(known), np.int64)
+        size[number] = np.concatenate(sizes)
+        first = mark(least, size, np.frombuffer(b"".join(known), np.uint8), length)
+        known.clear()
+        # a piece has the marks of its string, or all windows if a smaller id has the string
+        later = owner > least[number]
+        begin, windows = np.searchsorted(first[0], np.arange(len(size) + 1)), size - length + 1
+        each = np.where(later, windows[number], (begin[1:] - begin[:-1])[number])
+        piece = np.repeat(np.arange(len(number)), each)
+        step = np.arange(len(piece)) - np.repeat(np.cumsum(each) - each, each)
+        offset = np.where(later[piece], step, 0)
+        kept = ~later[piece]
+        offset[kept] = first[1][(begin[number[piece]] + step)[kept]]
         base = np.cumsum([0, *map(len, own)])
         cuts = np.searchsorted(piece, base)
         out_block, out = [], []
