@@ -52,6 +52,8 @@ def test_key_errors(spark, key):
     doc = spark.createDataFrame([("Summer", "when eight frames are full"), ("Willow", "in 3 – 4")], "heading string, text string")
     errors = {(r.question_id, r.error) for r in answerkey.document_errors(f, doc).collect()}
     assert errors == {("Q1", "not in section Summer: 8 frames"), ("Q2", "no section: Clover")}
+    texts = doc.unionByName(spark.createDataFrame([("Summer", "of 8  FRAMES"), ("Clover", None)], doc.schema))
+    assert {(r.question_id, r.error) for r in answerkey.document_errors(f, texts).collect()} == {("Q2", "no section: Clover")}
 
 
 def test_accuracy_and_layers(spark):

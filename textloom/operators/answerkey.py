@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.labels import small
 
 
 def tables(key: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,12 +40,17 @@ def structural_errors(questions: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def document_errors(facts: DataFrame, sections: DataFrame) -> DataFrame:
-    """EV-11: facts whose section is not in the document, and accepted strings that are not in their section.
+    """EV-11: facts whose section has no text, and accepted strings that no text of their section holds.
 
-    ``sections``: heading, text (``operators.sections.section_texts`` of one document).
+    ``sections``: heading, text (``operators.sections.section_texts``); a heading may have
+    several texts.  The key's strings are the query set: they meet the texts of their
+    section only, and a text is normalised once.
     """
-    wanted = facts.select("question_id", "name", "section", F.explode("accept").alias("accepted"))
-    rows = wanted.join(sections.select(F.col("heading").alias("section"), T.match_normalized(F.col("text")).alias("__hay")), "section", "left")
-    missing = rows.where(F.col("__hay").isNull()).select("question_id", F.concat(F.lit("no section: "), F.col("section")).alias("error")).distinct()
-    absent = rows.where(~F.contains("__hay", T.match_normalized(F.col("accepted")))).select("question_id", F.concat_ws("", F.lit("not in section "), F.col("section"), F.lit(": "), F.col("accepted")).alias("error"))
-    return missing.unionByName(absent)
+    wanted = facts.select("question_id", "section", F.explode("accept").alias("accepted"))
+    texts = sections.where("text is not null").select(F.col("heading").alias("section"), T.match_normalized(F.col("text")).alias("__hay"))
+    known = texts.select("section").distinct()
+    needles = wanted.where("accepted is not null").select("section", "accepted", T.match_normalized(F.col("accepted")).alias("__needle")).distinct()
+    found = texts.join(small(needles), "section").where(F.contains("__hay", "__needle")).select("section", "accepted").distinct()
+    missing = wanted.join(known, "section", "left_anti").select("question_id", F.concat(F.lit("no section: "), F.col("section")).alias("error")).distinct()
+    absent = wanted.where("accepted is not null").join(known, "section", "left_semi").join(found, ["section", "accepted"], "left_anti")
+    return missing.unionByName(absent.select("question_id", F.concat_ws("", F.lit("not in section "), F.col("section"), F.lit(": "), F.col("accepted")).alias("error")))

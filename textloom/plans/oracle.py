@@ -164,9 +164,11 @@ SQL = {
           when given <> '' and not same_answer then '[not applied: the answer changed since review] read' else 'read' end as suggestion_reason from s""",
     "manual_warnings": f"with {ANSWERS} select run_id, question_id, 'answer' as changed from a where number % 2 = 0 and answer_1 <> answer_2",
     "key_validation_errors": f"""with f as (select 'Q' || (item_id // 4) as question_id, 'S' || (item_id % 2) as section, text as accepted from benchmark where 7 <> (item_id // 4) % 7 + 1),
-        s as (select text from documents order by n_chars desc, text desc limit 1)
-        select distinct question_id, 'no section: S1' as error from f where section = 'S1'
-        union all select question_id, 'not in section S0: ' || accepted from f, s where section = 'S0' and not contains({_norm("s.text")}, {_norm("accepted")})""",
+        s as materialized (select 'S' || (doc_id % 2) as section, {_norm("text")} as hay from documents where text is not null),
+        n as materialized (select distinct section, accepted, {_norm("accepted")} as needle from f),
+        hit as (select distinct n.section, n.accepted from n join s on n.section = s.section and contains(s.hay, n.needle))
+        select distinct question_id, 'no section: ' || section as error from f where section not in (select section from s)
+        union all select question_id, 'not in section ' || section || ': ' || accepted from f where section in (select section from s) and (section, accepted) not in (select (section, accepted) from hit)""",
     "key_rule_errors": """with q as (select n, 'Q' || n as question_id, 7 <> n % 7 + 1 as answerable, n_facts, two from (select item_id // 4 as n, count(*) as n_facts, count(distinct item_id % 2) as two from benchmark group by 1))
         select question_id, 'min_facts_for_yes is out of range' as error from q where answerable and n % 3 = 0
         union all select question_id, 'unanswerable question has facts, sections or a minimum' from q where not answerable and n % 3 = 0

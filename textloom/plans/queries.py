@@ -282,11 +282,10 @@ def manual_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark facts looked up in a section that the longest document stands for."""
+    """Benchmark facts looked up in all documents: those of even ids are section S0, the others S1."""
     _, facts = corpora.benchmark_key(spark, sf_dir)
     docs = table(spark, sf_dir, "documents")
-    found = docs.groupBy(F.lit("S0").alias("heading")).agg(F.max_by("text", F.struct("n_chars", "text")).alias("text"))
-    return answerkey.document_errors(facts, found)
+    return answerkey.document_errors(facts, docs.select(F.concat(F.lit("S"), (F.col("doc_id") % 2).cast("string")).alias("heading"), "text"))
 
 
 def key_rule_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
